@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lindero.llm import lookalike, truncation
+from lindero.llm import leakage, lookalike, truncation
 from lindero.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,17 @@ def p2_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.consistent_form(_strings(spark, sf_dir), "string", "form").select("tbl", "row_id", "form")
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a document and an evaluation item that leaked into it."""
+    return leakage.leaked(_documents(spark, sf_dir), table(spark, sf_dir, "eval_items"))
+
+
+def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leaked items, with the number of documents they leaked into."""
+    items = table(spark, sf_dir, "eval_items").select("item_id", "split", "lang")
+    return leakage.leaked(_documents(spark, sf_dir), table(spark, sf_dir, "eval_items")).groupBy("item_id").agg(F.count("*").alias("documents")).join(F.broadcast(items), "item_id")
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit()}
 
