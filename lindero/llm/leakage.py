@@ -41,6 +41,18 @@ BLOCK = 2_000_000
 OTHER, NUMBER = -1, -2
 
 _TWINS = {ord(k): v for k, v in (CYRILLIC_TWINS | GREEK_TWINS).items()}
+
+
+class _Fold(dict):
+    """Maps a character to its folded form, worked out when it is first met."""
+
+    def __missing__(self, point: int) -> str:
+        plain = unicodedata.normalize("NFKD", chr(point))
+        self[point] = "".join(_TWINS.get(ord(c), c) for c in plain if not unicodedata.combining(c) and unicodedata.category(c) != "Cf").casefold()
+        return self[point]
+
+
+_FOLD = _Fold()
 _PAGE = re.compile(r"^[\W_]*(?:p[aá]gina|p[aà]gina|p[aà]g\.?|page)\W*\d+(?:\W+(?:de|of)?\W*\d+)?[\W_]*$", re.I | re.M)
 _BROKEN = re.compile(r"(?<=\w)[-‐­]\s*\n\s*(?=\w)")
 _WORD = re.compile(r"[^\W_]+")
@@ -51,10 +63,7 @@ def folded_words(text: str | None) -> list[str]:
     if not text:
         return []
     text = _BROKEN.sub("", _PAGE.sub(" ", text))
-    if not text.isascii():
-        text = unicodedata.normalize("NFKD", text).translate(_TWINS)
-        text = "".join(c for c in text if not unicodedata.combining(c) and unicodedata.category(c) != "Cf")
-    return _WORD.findall(text.casefold())
+    return _WORD.findall(text.translate(_FOLD))
 
 
 class Pieces:

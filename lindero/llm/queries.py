@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lindero.llm import leakage, lookalike, truncation
+from lindero.llm import leakage, lookalike, pii, truncation
 from lindero.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +54,16 @@ def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked(_documents(spark, sf_dir), table(spark, sf_dir, "eval_items")).groupBy("item_id").agg(F.count("*").alias("documents")).join(F.broadcast(items), "item_id")
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each mention of personal information."""
+    return pii.find_mentions(_documents(spark, sf_dir)).drop("end_pos")
+
+
+def p9_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text with its mentions replaced by placeholders."""
+    return pii.replace_mentions(_documents(spark, sf_dir)).select("doc_id", "clean_text")
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit()}
 
