@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lindero.llm import leakage, lookalike, pii, truncation
+from lindero.llm import leakage, lookalike, packing, pii, splitting, truncation
 from lindero.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,26 @@ def p2_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.consistent_form(_strings(spark, sf_dir), "string", "form").select("tbl", "row_id", "form")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Oversized sections with the coarsest boundary that cuts them small enough."""
+    return splitting.weakest_boundaries(table(spark, sf_dir, "document_sections"))
+
+
+def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sections in pieces within the limit."""
+    return splitting.split_sections(table(spark, sf_dir, "document_sections"))
+
+
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text, or piece of a larger one, in its container."""
+    return packing.pack(packing.token_counts(_documents(spark, sf_dir)))
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers are."""
+    return packing.fill_report(p7_containers(spark, sf_dir))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of a document and an evaluation item that leaked into it."""
     return leakage.leaked(_documents(spark, sf_dir), table(spark, sf_dir, "eval_items"))
