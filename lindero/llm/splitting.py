@@ -60,10 +60,24 @@ def boundaries(text: str, markers: list[int | None], longest: int) -> dict[int,
     return found
 
 
+def _needed(found: dict[int, int], size: int, most: int) -> dict[int, int]:
+    """Without the boundaries that are sure to be merged: those in a stretch between stronger ones that fits as a whole."""
+    for level in range(4):
+        edges = [0, *(at for at in sorted(found) if found[at] > level), size]
+        weak = iter([at for at in sorted(found) if found[at] == level])
+        at = next(weak, None)
+        for left, right in zip(edges, edges[1:], strict=False):
+            while at is not None and at < right:
+                if right - left <= most:
+                    del found[at]
+                at = next(weak, None)
+    return found
+
+
 def merged(text: str, markers: list[int | None], limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, int]]:
     """(start, end, strength of the boundary at start; -1 for the first) of the parts left after merging."""
     most = limit - overlap
-    found = boundaries(text, markers, most)
+    found = _needed(boundaries(text, markers, most), len(text), most)
     starts = [0, *sorted(found)]
     ends = [*starts[1:], len(text)]
     before, after = list(range(-1, len(starts) - 1)), [*range(1, len(starts)), -1]
