@@ -43,6 +43,8 @@ BASE = 0.05
 TAIL = 400
 #: The bitmap of asked contexts has 2 to this power bits.
 BITS = 23
+#: Characters that are counted at once.
+CHUNK = 1 << 20
 #: Log-odds between which a language's threshold is sought, and the width of a step.
 THRESHOLDS = (-6.0, -3.25)
 STEP = 0.25
@@ -137,30 +139,53 @@ def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(state, pa.string()), lists], names=["k1", "k2", "state", "contexts"])
 
 
+def _counted(chunk: str, view: str, bitmap: np.ndarray) -> Iterator[pa.RecordBatch]:
+    codes = _codes(_BLANK.sub("\n", _SEE[view](_SENTENCE.sub(_SPOT, chunk))))
+    after = np.append(codes[1:], 0)
+    if view == "outline":
+        stop, go = (after == 10) & (codes != 10), (after > 10) & (codes > 10)
+    else:
+        word = _ALNUM[codes]
+        stop, go = word & ~_ALNUM[after] & (after != 0), word & _ALNUM[after]
+    codes = np.where(codes == 1, 32, np.where(codes == 0, 10, codes))
+    for _, context in _contexts(codes, view):
+        bit = context.view(np.uint64) >> np.uint64(64 - BITS)
+        held = ((bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+        held &= go | stop
+        found, place = np.unique(context[held], return_inverse=True)
+        if found.size:
+            stops = np.bincount(place, weights=stop[held], minlength=found.size).astype(np.int64)
+            goes = np.bincount(place, minlength=found.size) - stops
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(goes), pa.array(stops)], names=["context", "goes", "stops"])
+
+
+def _chunks(texts: list[str | None]) -> Iterator[str]:
+    """The texts, each ended by a NUL, in strings of about CHUNK characters; a longer text is parted at line ends, which no context crosses."""
+    held, size = [], 0
+    for text in texts:
+        text = (text or "").rstrip()
+        at = 0
+        while len(text) - at > CHUNK and (cut := text.find("\n", at + CHUNK)) >= 0:
+            yield text[at : cut + 1]
+            at = cut + 1
+        if at < len(text):
+            held.append(text[at:] + "\x00")
+            size += len(text) - at
+        if size > CHUNK:
+            yield "".join(held)
+            held, size = [], 0
+    if held:
+        yield "".join(held)
+
+
 def _counter(bitmap: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Counts the contexts that the bitmap holds over whole texts: goes on, stops. Ends of texts are counted apart."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            joined = "\x00".join(x.rstrip() for x in batch.column(0).to_pylist() if x) + "\x00"
-            for view in ORDERS:
-                codes = _codes(_BLANK.sub("\n", _SEE[view](_SENTENCE.sub(_SPOT, joined))))
-                after = np.append(codes[1:], 0)
-                if view == "outline":
-                    stop, go = (after == 10) & (codes != 10), (after > 10) & (codes > 10)
-                else:
-                    word = _ALNUM[codes]
-                    stop, go = word & ~_ALNUM[after] & (after != 0), word & _ALNUM[after]
-                codes = np.where(codes == 1, 32, np.where(codes == 0, 10, codes))
-                for _, context in _contexts(codes, view):
-                    bit = context.view(np.uint64) >> np.uint64(64 - BITS)
-                    held = ((bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
-                    held &= go | stop
-                    found, place = np.unique(context[held], return_inverse=True)
-                    if found.size:
-                        stops = np.bincount(place, weights=stop[held], minlength=found.size).astype(np.int64)
-                        goes = np.bincount(place, minlength=found.size) - stops
-                        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(goes), pa.array(stops)], names=["context", "goes", "stops"])
+            for chunk in _chunks(batch.column(0).to_pylist()):
+                for view in ORDERS:
+                    yield from _counted(chunk, view, bitmap)
 
     return count
 
