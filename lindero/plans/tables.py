@@ -20,7 +20,7 @@ _ALIASES = ("value", "fieldValue", "value_text", "valor", "val")
 def json_alias_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A canonical member, else the first of its aliases that isn't null."""
     rows = table(spark, sf_dir, "feed_records").withColumn("v", F.try_parse_json("payload"))
-    pick = lambda *names: F.coalesce(*(F.try_variant_get("v", f"$.{n}", "string") for n in names))
+    pick = lambda *names: F.coalesce(*(F.get_json_object("payload", f"$.{n}") for n in names))
     kind = F.schema_of_variant(F.try_variant_get("v", "$.value", "variant"))
     plain = ~(kind.startswith("OBJECT") | kind.startswith("ARRAY"))
     return rows.filter(pick("field").isNotNull() & plain).select("feed", "file_no", "row_no", pick(*_ALIASES).alias("value"), pick("method", "metodo", "extraction_method").alias("method"))
