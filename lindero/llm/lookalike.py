@@ -147,14 +147,16 @@ def string_forms(unplain: DataFrame) -> DataFrame:
 
 
 def consistent_form(df: DataFrame, text: str, to: str) -> DataFrame:
-    """`df` with the consistent form of column `text` in a new column `to`."""
+    """`df` with the consistent form of column `text` in column `to`; a column of that name is replaced."""
+    df = df.drop(to, "_k1", "_k2", "_form")
     odd = F.col(text).rlike(UNPLAIN)
     clean = df.filter(odd.isNull() | ~odd).withColumn(to, F.col(text))
     return clean.unionByName(changed_form(df, text, to))
 
 
 def changed_form(df: DataFrame, text: str, to: str) -> DataFrame:
-    """The rows of `df` that hold any unplain character, with their form in `to`."""
+    """The rows of `df` that hold any unplain character, with their form in `to`; a column of that name is replaced."""
+    df = df.drop(to, "_k1", "_k2", "_form")
     odd = df.filter(F.col(text).rlike(UNPLAIN))
     forms = string_forms(odd.select(F.col(text).alias("_text")))
     keyed = odd.select("*", *_digest(F.col(text)))

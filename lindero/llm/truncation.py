@@ -275,7 +275,8 @@ def thresholds(scored: DataFrame) -> DataFrame:
 
 
 def cut_texts(documents: DataFrame, column: str = "text", by: str = "lang") -> DataFrame:
-    """`documents` with `is_cut` (never null), `end_state` and `end_odds`."""
+    """`documents` with `is_cut` (never null), `end_state`, `end_odds` and `threshold`; columns of these names are replaced."""
+    documents = documents.drop("is_cut", "end_state", "end_odds", "threshold", "_k1", "_k2", "_by")
     keyed = documents.select("*", F.xxhash64(column).alias("_k1"), F.xxhash64(F.lit("end"), F.col(column)).alias("_k2"))
     scores = cut_lineage(end_scores(documents, column))
     odds = F.least("outline", "letters")
