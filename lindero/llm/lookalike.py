@@ -94,9 +94,9 @@ def _without_twin(first: int, last: int, twins: dict[str, str]) -> str:
 
 
 def _token_forms(tokens: DataFrame) -> DataFrame:
-    """(token, cyr, gre) to `form`. `tokens` must be distinct."""
+    """(t1, t2, cyr, gre) to `form`, from distinct (t1, t2, cyr, gre, token); the token itself, however long, isn't carried along."""
     spark = tokens.sparkSession
-    key = ["token", "cyr", "gre"]
+    key = ["t1", "t2", "cyr", "gre"]
     hexes = F.split(F.hex(F.encode("token", "UTF-32")), r"(?<=\G.{8})")
     rows = tokens.select(*key, F.posexplode(hexes).alias("pos", "hex")).filter("hex != ''")
     own = F.array(F.struct(F.decode(F.unhex("hex"), "UTF-32").alias("ch"), F.lit(0).alias("ccc"), F.lit("").alias("script"), F.lit(None).cast("string").alias("twin")))
@@ -138,9 +138,10 @@ def string_forms(unplain: DataFrame) -> DataFrame:
     cyr = F.col("_text").rlike(_without_twin(0x400, 0x530, CYRILLIC_TWINS))
     gre = F.col("_text").rlike(_without_twin(0x370, 0x400, GREEK_TWINS))
     tokens = texts.select("_k1", "_k2", cyr.alias("cyr"), gre.alias("gre"), F.posexplode(F.regexp_extract_all("_text", F.lit(r"([^ \t\n\r]+|[ \t\n\r]+)"), F.lit(1))).alias("tno", "token"))
-    odd = tokens.filter(F.col("token").rlike(UNPLAIN))
-    forms = _token_forms(odd.select("token", "cyr", "gre").distinct())
-    done = odd.join(forms, ["token", "cyr", "gre"], "left").select("_k1", "_k2", "tno", F.coalesce("form", F.lit("")).alias("form"))
+    odd = tokens.filter(F.col("token").rlike(UNPLAIN)).select("*", F.xxhash64("token").alias("t1"), F.xxhash64(F.lit("token"), "token").alias("t2"))
+    key = ["t1", "t2", "cyr", "gre"]
+    forms = _token_forms(odd.select(*key, "token").dropDuplicates(key))
+    done = odd.join(forms, key, "left").select("_k1", "_k2", "tno", F.coalesce("form", F.lit("")).alias("form"))
     whole = tokens.filter(~F.col("token").rlike(UNPLAIN)).select("_k1", "_k2", "tno", F.col("token").alias("form")).unionByName(done)
     parts = F.sort_array(F.collect_list(F.struct("tno", "form")))
     return whole.groupBy("_k1", "_k2").agg(F.array_join(F.transform(parts, lambda x: x.form), "").alias("_form"))
