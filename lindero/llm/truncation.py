@@ -263,9 +263,8 @@ def thresholds(scored: DataFrame) -> DataFrame:
     """(lang, threshold): the middle of the emptiest stretch of the language's log-odds between THRESHOLDS; a row for each language."""
     low, high = THRESHOLDS
     steps = int((high - low) / STEP)
-    spark = scored.sparkSession
     bins = scored.filter((F.col("odds") >= low) & (F.col("odds") < high)).groupBy("lang", F.floor((F.col("odds") - low) / STEP).alias("bin")).count()
-    grid = scored.select("lang").distinct().crossJoin(F.broadcast(spark.range(steps).select(F.col("id").alias("bin"))))
+    grid = scored.select("lang").distinct().select("lang", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(steps - 1).cast("long"))).alias("bin"))
     full = grid.join(bins, grid.lang.eqNullSafe(bins.lang) & (grid.bin == bins.bin), "left").select(grid.lang, grid.bin, F.coalesce("count", F.lit(0)).alias("count"))
     near = Window.partitionBy("lang").orderBy("bin").rowsBetween(-1, 1)
     full = full.withColumn("near", F.sum("count").over(near))
