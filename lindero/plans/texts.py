@@ -125,11 +125,11 @@ def classify_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""select lang, cue, count(*) as n from (select lang, case when len(regexp_extract_all(lower(substring(text, 1, 30000)), '(?:^|[^a-z0-9_]){_CATALAN_SQL}(?:$|[^a-z0-9_])')) >= 3 then 'ca' when regexp_matches(lower(substring(text, 1, 30000)), 'this tender|the contractor|the supplier shall|base budget') then 'en' else 'es' end as cue from documents where text is not null) group by all"""
+    f"""select lang, cue, count(*) as n from (select lang, case when len(regexp_extract_all(lower(text), '(?:^|[^a-z0-9_]){_CATALAN_SQL}(?:$|[^a-z0-9_])')) >= 3 then 'ca' when regexp_matches(lower(text), 'this tender|the contractor|the supplier shall|base budget') then 'en' else 'es' end as cue from documents where text is not null) group by all"""
 )
 def language_cue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language that function words and phrases tell, against the stated one."""
-    head = F.lower(F.substring("text", 1, 30_000))
+    head = F.lower("text")
     cue = F.when(F.regexp_count(head, F.lit(f"(?:^|[^a-z0-9_]){_CATALAN}(?:$|[^a-z0-9_])")) >= 3, "ca").when(head.rlike("this tender|the contractor|the supplier shall|base budget"), "en").otherwise("es")
     return _documents(spark, sf_dir).filter("text is not null").select("lang", cue.alias("cue")).groupBy("lang", "cue").agg(F.count("*").alias("n"))
 
