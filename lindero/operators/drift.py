@@ -6,7 +6,8 @@ its feed. A removed and an added member of the same type whose histograms overla
 renamed member; the best partner wins on both sides. `ingest` is rescue-column ingestion: records
 are forced into a target schema, members that it doesn't know and values that can't be cast are
 kept as JSON in `_rescued`; `promotions` turns renames into approved aliases of target columns, and
-`replay` casts the rescued values of approved aliases into the typed columns.
+`replay` casts the rescued values of approved aliases into the typed columns; what can't be stored
+there stays in `_rescued`.
 
 Everything is grouped by (feed, file_no, member) with partial aggregation, so a feed that holds a
 third of all rows isn't gathered in one task; only profiles, whose size follows the number of
@@ -20,6 +21,9 @@ predecessor is missing has no changes.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -169,24 +173,31 @@ def promotions(changes: DataFrame, rounds: int = 4) -> DataFrame:
     return known.filter("alias != member")
 
 
-def _json_of(member: str) -> Column:
-    return F.get(F.filter("_mapped", lambda e: e["member"] == member), F.lit(0))["json"]
+def _columns_of(member: str) -> list[str]:
+    return [name for name, (m, _) in TARGET.items() if m == member]
 
 
 def replay(ingested: DataFrame, approved: DataFrame) -> DataFrame:
-    """The rescued values of approved aliases, cast into the typed columns that are still empty.
+    """The rescued values of approved aliases, cast into the typed columns of members that are still empty.
 
+    A member takes the value of one alias: the first by name that can be cast. Only that alias leaves
+    `_rescued`; values that can't be cast, further aliases, and aliases beside a filled member stay.
     Only rescued members are exploded and joined with the approved names; AQE picks how.
     """
     key = ["feed", "file_no", "row_no"]
     rescued = ingested.filter(F.size("_rescued") > 0).select(*key, F.explode("_rescued").alias("alias", "json"))
-    named = rescued.join(approved, "alias").groupBy(*key).agg(F.collect_list(F.struct("alias", "member", "json")).alias("_mapped"))
-    out = ingested.join(named, key, "left")
-    for name, (member, kind) in TARGET.items():
-        json = _json_of(member)
-        out = out.withColumn(name, F.coalesce(F.col(name), cast_member(F.try_parse_json(json), kind)))
-    taken = F.coalesce(F.transform("_mapped", lambda e: e["alias"]), F.array().cast("array<string>"))
-    return out.withColumn("_rescued", F.map_filter("_rescued", lambda k, _: ~F.array_contains(taken, k))).drop("_mapped")
+    value = F.try_parse_json("json")
+    named = rescued.join(approved, "alias").select(*key, "alias", "member", *(F.when(F.col("member") == member, cast_member(value, kind)).alias(name) for name, (member, kind) in TARGET.items()))
+    fitting = named.filter(F.coalesce(*(F.when(F.col(name).isNotNull(), True) for name in TARGET)))
+    members = list(dict.fromkeys(member for member, _ in TARGET.values()))
+    first = fitting.groupBy(*key).agg(*(F.min_by(F.struct("alias", *_columns_of(m)), F.when(F.col("member") == m, F.col("alias"))).alias(f"_{m}") for m in members))
+
+    empty = {m: reduce(and_, (F.col(name).isNull() for name in _columns_of(m))) for m in members}
+    typed = {name: F.when(empty[m], F.col(f"_{m}")[name]).otherwise(F.col(name)) for name, (m, _) in TARGET.items()}
+    stored = F.array(*(F.when(empty[m], F.col(f"_{m}")["alias"]) for m in members))
+    # before the typed columns: in one select, the lambda would see their new values
+    out = ingested.join(first, key, "left").withColumn("_rescued", F.map_filter("_rescued", lambda k, _: ~F.coalesce(F.array_contains(stored, k), F.lit(False))))
+    return out.select(*(typed.get(c, F.col(c)).alias(c) for c in ingested.columns))
 
 
 def steady_table(records: DataFrame) -> DataFrame:

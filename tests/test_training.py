@@ -79,6 +79,19 @@ def test_steady_table(spark):
     assert all(r._rescued == '{"zzz":"[1]"}' for r in rows if r.file_no == 1) and all(json.loads(r._rescued) == {"confidence": '"alta"'} for r in rows if r.file_no == 2)
 
 
+def test_replay_keeps_what_it_does_not_store(spark):
+    payloads = [
+        {"confianza": "alta"}, {"conf": 0.25, "confianza": 0.75}, {"conf": "baja", "confianza": 0.75}, {"confidence": 0.5, "conf": 0.25}, {"confidence": "media", "conf": 0.25},
+        {"val": "1,50 €", "valor": "2,50 €"}, {"value": "ver anexo", "val": "1,50 €"}, {"valor": {"importe": 3.5}},
+    ]
+    approved = spark.createDataFrame([("confianza", "confidence"), ("conf", "confidence"), ("val", "value"), ("valor", "value")], "alias string, member string")
+    rows = drift.replay(drift.ingest(feed(spark, {1: payloads})), approved).orderBy("row_no").collect()
+    assert [(r.confidence, r.value, r.amount and float(r.amount), dict(r._rescued)) for r in rows] == [
+        (None, None, None, {"confianza": '"alta"'}), (0.25, None, None, {"confianza": "0.75"}), (0.75, None, None, {"conf": '"baja"'}), (0.5, None, None, {"conf": "0.25"}), (0.25, None, None, {"confidence": '"media"'}),
+        (None, "1,50 €", 1.5, {"valor": '"2,50 €"'}), (None, "ver anexo", None, {"val": '"1,50 €"'}), (None, '{"importe":3.5}', 3.5, {}),
+    ]
+
+
 def test_nested_records(spark):
     span = {"start": 1, "end": 2}
     body = {
