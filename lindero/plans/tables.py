@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import re
+import sys
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,17 +46,59 @@ def schema_compliance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return members.groupBy("record_id").agg(F.count(F.when(plain, 1)).alias("plain"), F.count("*").alias("members"), F.bool_and(plain).alias("compliant"))
 
 
+#: What JavaScript's trim() removes, and the members whose value stands for their object's.
+_BLANKS = "\t\n\v\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+_BEARING = ("value", "importe", "amount", "texto", "descripcion")
+
+
+def _number(x: float) -> str:
+    """A number as JavaScript prints it."""
+    if x == 0:
+        return "0"
+    if 1e-6 <= abs(x) < 1e21:
+        return f"{Decimal(repr(x)):f}".removesuffix(".0")
+    return re.sub(r"e([+-])0+", r"e\1", repr(x)).replace("inf", "Infinity")
+
+
+def flat_text(value: object, depth: int = 0) -> str | None:
+    """Any parsed JSON value as one text, null if it holds none; objects count down to the third level."""
+    if isinstance(value, str):
+        return value.strip(_BLANKS) or None
+    if isinstance(value, bool):
+        return "Sí" if value else "No"
+    if isinstance(value, float):
+        return _number(value)
+    if isinstance(value, list):
+        return "; ".join([t for t in [flat_text(v, depth + 1) for v in value] if t]) or None
+    if isinstance(value, dict) and depth < 3:
+        for name in _BEARING:
+            if text := flat_text(value.get(name), depth + 1):
+                return text
+        # as in JavaScript, members named by numbers go first
+        names = sorted(value, key=lambda n: (0, int(n)) if re.fullmatch(r"0|[1-9][0-9]{0,9}", n) and int(n) < 2**32 - 1 else (1, 0))
+        return " ".join([t for t in [flat_text(value[n], depth + 1) for n in names] if t]) or None
+    return None
+
+
+def _flat_members(payload: str | None) -> dict[str, str | None] | None:
+    sys.setrecursionlimit(20_000)
+    try:
+        record = json.loads(payload or "", parse_int=float)
+    except ValueError:
+        return None
+    whole = lambda s: s and s.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+    return {whole(name): whole(flat_text(value)) for name, value in record.items()} if isinstance(record, dict) else None
+
+
 @query()
 def json_scalar_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Any value as one text: preferred members of objects, lists joined by '; ', booleans as words; two levels deep."""
-    v = F.explode(F.from_json("payload", "map<string,variant>"))
-    rows = table(spark, sf_dir, "feed_records").select("feed", "file_no", "row_no", v.alias("member", "v"))
-    kind = F.schema_of_variant("v")
-    pick = F.coalesce(*(F.try_variant_get("v", f"$.{n}", "string") for n in ("value", "texto", "importe", "n", "tipo", "start")))
-    items = F.try_variant_get("v", "$", "array<string>")
-    boolean = F.when(F.try_variant_get("v", "$", "boolean"), "Sí").otherwise("No")
-    text = F.when(kind == "BOOLEAN", boolean).when(kind.startswith("OBJECT"), pick).when(kind.startswith("ARRAY"), F.array_join(F.filter(items, lambda x: x.isNotNull()), "; ")).otherwise(F.try_variant_get("v", "$", "string"))
-    return rows.select("feed", "file_no", "row_no", "member", text.alias("text"))
+    """Any value as one text: the value-bearing member of an object, else all its members joined by a blank; lists joined by '; '; booleans as words.
+
+    A function over whole payloads, as lists may nest without bound and a VARIANT doesn't keep the order of members.
+    """
+    flat = F.udf(_flat_members, "map<string,string>", useArrow=True)
+    rows = table(spark, sf_dir, "feed_records")
+    return rows.select("feed", "file_no", "row_no", F.explode(flat("payload")).alias("member", "text"))
 
 
 # --- calls, latency, cost --------------------------------------------------------------------

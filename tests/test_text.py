@@ -1,7 +1,10 @@
+import json
+
 from pyspark.sql import functions as F
 
 from lindero.functions import text as X
 from lindero.operators import passages as P
+from lindero.plans import tables
 
 
 def column(spark, rows, build):
@@ -52,3 +55,15 @@ def test_repeated_lines(spark):
     assert [r.line for r in repeated.collect()] == ["Firmado electrónicamente por X"]
     texts = {r.doc_id: r.text for r in P.without_repeated(pages, repeated).collect()}
     assert texts[0] == "Plazo de pago\ntexto 0" and texts[9] == "Página 1 de 2" and texts[10] is None and texts[11] == "x"
+
+
+def test_json_scalar_flatten(spark, tmp_path):
+    cases = {
+        '{"start": 2852, "end": 9050}': "2852 9050", '{"unidad": "mes", "n": 22}': "mes 22", '{"importe": 15194.50, "moneda": "EUR"}': "15194.5", '{"value": " ", "texto": "a"}': "a", '[{"lote": 1}, {"lote": 2}, null]': "1; 2",
+        '[["580.615,72", "EUR"], [[[["x"]]]]]': "580.615,72; EUR; x", '{"a": {"b": {"c": 1}}}': "1", '{"a": {"b": {"c": {"d": 1}}}}': None, '{"a": {"b": {"c": [true, " s "]}}}': "Sí; s", "[{}]": None, "{}": None, '" "': None,
+        '" a "': "a", "false": "No", "21": "21", "1774646.0": "1774646", "1e21": "1e+21", "1e-7": "1e-7", "0.00001": "0.00001", "-0.0": "0", "12345678901234567890": "12345678901234567000", '{"b": 1, "2": 2, "1": 3}': "3 2 1", '"\\ud800"': "\ufffd", "null": None,
+    }
+    deep = "[" * 900 + "1" + "]" * 900
+    payloads = ["{" + ", ".join(f"{json.dumps(c)}: {c}" for c in cases) + "}", f'{{"deep": {deep}}}', '{"cut": [1', "[1]", None]
+    spark.createDataFrame([("f", 1, k, p) for k, p in enumerate(payloads)], "feed string, file_no int, row_no int, payload string").write.parquet(f"{tmp_path}/feed_records.parquet")
+    assert {r.member: r.text for r in tables.json_scalar_flatten(spark, str(tmp_path)).collect()} == cases | {"deep": "1"}
