@@ -159,17 +159,19 @@ def ingest(records: DataFrame) -> DataFrame:
     return typed.withColumn("_rescued", F.transform_values(rest, lambda _, v: F.to_json(v))).drop("_m")
 
 
-def promotions(changes: DataFrame, rounds: int = 4) -> DataFrame:
-    """(alias, member): approved names of the target's members, by following the renames of all feeds for `rounds` steps."""
+def promotions(changes: DataFrame) -> DataFrame:
+    """(alias, member): approved names of the target's members, by following the renames of all feeds; the nearest member wins.
+
+    Each step adds names that weren't known, so the number of distinct names bounds the steps.
+    """
     spark = changes.sparkSession
     edges = changes.filter("change_kind = 'renamed'").select("field_before", "field_after").distinct()
     edges = cut_lineage(edges.unionByName(edges.select(F.col("field_after").alias("field_before"), F.col("field_before").alias("field_after"))).distinct())
-    known = spark.createDataFrame([(m, m) for m in sorted({m for m, _ in TARGET.values()})], "alias string, member string")
-    targets = known.select(F.col("alias").alias("_t"))
-    for _ in range(rounds):
-        step = known.join(edges, F.col("alias") == F.col("field_before")).select(F.col("field_after").alias("alias"), "member")
-        step = step.join(targets, F.col("alias") == F.col("_t"), "left_anti")
-        known = known.unionByName(step).groupBy("alias").agg(F.min("member").alias("member"))
+    known = step = spark.createDataFrame([(m, m) for m in sorted({m for m, _ in TARGET.values()})], "alias string, member string")
+    while not step.isEmpty():
+        reached = step.join(edges, F.col("alias") == F.col("field_before")).groupBy(F.col("field_after").alias("alias")).agg(F.min("member").alias("member"))
+        step = cut_lineage(reached.join(known.select("alias"), "alias", "left_anti"))
+        known = known.unionByName(step)
     return known.filter("alias != member")
 
 

@@ -92,6 +92,16 @@ def test_replay_keeps_what_it_does_not_store(spark):
     ]
 
 
+def test_promotions_follow_renames_to_the_end(spark):
+    names = ["value", "a1", "a2", "a3", "a4", "a5", "a6", "document"]
+    changes = spark.createDataFrame([("renamed", b, a) for b, a in [*zip(names, names[1:]), ("x", "y")]] + [("added", "", "a9")], "change_kind string, field_before string, field_after string")
+    assert {(r.alias, r.member) for r in drift.promotions(changes).collect()} == {("a1", "value"), ("a2", "value"), ("a3", "value"), ("a4", "document"), ("a5", "document"), ("a6", "document")}
+    long = [f"b{k}" for k in range(7)]
+    changes = spark.createDataFrame([("renamed", b, a) for b, a in zip(["method", *long], long)], "change_kind string, field_before string, field_after string")
+    assert {(r.alias, r.member) for r in drift.promotions(changes).collect()} == {(b, "method") for b in long}
+    assert drift.promotions(changes.limit(0)).count() == 0
+
+
 def test_nested_records(spark):
     span = {"start": 1, "end": 2}
     body = {
