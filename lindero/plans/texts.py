@@ -251,10 +251,11 @@ def band_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""select rule, count(*) as labels, count(*) filter (where contains(substring(source, 1, size), {norm('gold')})) as included, round(count(*) filter (where contains(substring(source, 1, size), {norm('gold')})) / count(*), 4) as rate
   from ({GOLD}) g join ({SOURCES}) s on g.document = s.file cross join (values ('head', 300), ('full', 1000000)) r(rule, size) group by rule""")
 def evidence_inclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many labelled values are in what each selection rule leaves of their source."""
+    """How many labelled values are in what each selection rule leaves of their source; without a size it's the whole."""
     rows = gold_labels(table(spark, sf_dir, "golden_labels")).join(sources(table(spark, sf_dir, "docling_parses")), F.col("document") == F.col("file"))
-    rules = F.explode(F.array(*(F.struct(F.lit(n).alias("rule"), F.lit(s).alias("size")) for n, s in (("head", 300), ("full", 1_000_000)))))
-    inside = F.contains(F.expr("substring(source, 1, r.size)"), X.normalised(F.col("gold")))
+    rules = F.explode(F.array(*(F.struct(F.lit(n).alias("rule"), F.lit(s).cast("int").alias("size")) for n, s in (("head", 300), ("full", None)))))
+    left = F.when(F.col("r.size").isNull(), F.col("source")).otherwise(F.expr("substring(source, 1, r.size)"))
+    inside = F.contains(left, X.normalised(F.col("gold")))
     out = rows.withColumn("r", rules).groupBy(F.col("r.rule").alias("rule")).agg(F.count("*").alias("labels"), F.count(F.when(inside, 1)).alias("included"))
     return out.withColumn("rate", F.round(F.col("included") / F.col("labels"), 4))
 

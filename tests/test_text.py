@@ -79,3 +79,9 @@ def test_labels_within_contexts(spark):
     assert column(spark, list(terms), lambda c: texts.labeled_value(c, texts._EXECUTION, "duration")) == list(terms.values())
     shares = {"Garantía definitiva superior al 3 %. La garantía definitiva será del 5 % del precio": "5%", "garantía definitiva: 5": None}
     assert column(spark, list(shares), lambda c: texts.labeled_value(c, texts._GUARANTEE, "percent")) == list(shares.values())
+
+
+def test_inclusion_in_the_whole_source(spark, tmp_path):
+    spark.sql("select 1L as label_id, 'f' as doc, 'iva' as field, '21 %' as gold").write.parquet(f"{tmp_path}/golden_labels.parquet")
+    spark.sql("select 1L as parse_id, 'f' as file, true as ok, concat(repeat('a', 1000100), ' 21 %') as text, 1 as parsed_at").write.parquet(f"{tmp_path}/docling_parses.parquet")
+    assert {r.rule: r.included for r in texts.evidence_inclusion(spark, str(tmp_path)).collect()} == {"head": 0, "full": 1}
