@@ -3,18 +3,22 @@
 Pigeonhole edit matching on words. Any WINDOW successive words of an item that a document holds
 with at most BUDGET edited words contain, cut into BUDGET + 1 pieces, one piece unedited; as the
 window may start at any word, the pieces looked up are all runs of WINDOW // (BUDGET + 1) item
-words. Documents stream past a table of these pieces; hits are grouped by item and diagonal (an
-alignment with at most BUDGET edits stays within BUDGET diagonals and keeps at least
+words. Documents stream past a sorted table of the digests of these pieces: a batch of texts is
+one array of folded code points, words and runs of words are hashed by differences of prefix sums,
+and only runs that the table holds are looked at further. Hits are grouped by item and diagonal
+(an alignment with at most BUDGET edits stays within BUDGET diagonals and keeps at least
 WINDOW - piece + 1 - piece * BUDGET pieces); windows with enough hits are verified by Myers'
-bit-parallel distance over words. An exact check of the alignment follows: at most one word at
-the ends of a window may be among the edited ones, so a shorter shared phrase isn't stretched, and
-a number put for another number weighs two edits, so a statement on other figures isn't a copy.
+bit-parallel distance over words. An exact check of the alignment follows: the first and the last
+word of a window must be unedited, so that the passage is eighteen words long in the item and a
+shorter shared phrase isn't stretched, and a number put for another number weighs two edits, so a
+statement on other figures isn't a copy.
 
 Words are compared after folding case, accents, look-alike letters, full-width forms, invisible
 characters, punctuation, words broken at line ends and page-number lines.
 
-The items are the stated query set; they are shipped in blocks of at most BLOCK words, so that
-what goes to the executors has a fixed bound whatever the number of items. Documents are never
+The items are the stated query set. Their words are counted first; sets over BLOCK words are dealt
+into blocks of about that size, of which one at a time is read, shipped and searched, so what the
+driver and the executors hold has a fixed bound whatever the number of items. Documents are never
 joined with each other or shuffled.
 
 Defined results: null and empty texts or items match nothing; items with fewer than WINDOW words
@@ -25,45 +29,99 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lindero.llm.lookalike import CYRILLIC_TWINS, GREEK_TWINS
+from lindero.llm.signs import Runs, code_points
+from lindero.session import cut_lineage
 
 WINDOW = 18
 BUDGET = 2
-BLOCK = 2_000_000
-#: Words of a document that no item holds.
-OTHER, NUMBER = -1, -2
+BLOCK = 4_000_000
+#: Characters that are looked at at once.
+CHUNK = 1 << 20
 
 _TWINS = {ord(k): v for k, v in (CYRILLIC_TWINS | GREEK_TWINS).items()}
+_PAGE = re.compile(r"^[\W_]*(?:p[aá]gina|p[aà]gina|p[aà]g\.?|page)\W*\d+(?:\W+(?:de|of)?\W*\d+)?[\W_]*$", re.I | re.M)
+_PAGED = re.compile(r"p[aáà]g|page", re.I)
+_BROKEN = re.compile(r"(?<=\w)[-‐­]\s*\n\s*(?=\w)")
+
+
+def _plain(point: int) -> str:
+    parts = unicodedata.normalize("NFKD", chr(point))
+    return "".join(_TWINS.get(ord(c), c) for c in parts if not unicodedata.combining(c) and unicodedata.category(c) != "Cf").casefold()
+
+
+class _Fold:
+    """Folds arrays of code points by a table that is filled as characters are met."""
+
+    UNKNOWN, GONE, MANY = 0xFFFFFFFF, 0xFFFFFFFE, 0xFFFFFFFD
 
+    def __init__(self) -> None:
+        self.table = np.full(0x110000, self.UNKNOWN, np.uint32)
+        self.kind = np.zeros(0x110000, np.uint8)  # 1 for letters, 2 for digits
+        self.many: dict[int, str] = {}
 
-class _Fold(dict):
-    """Maps a character to its folded form, worked out when it is first met."""
+    def _learn(self, point: int) -> None:
+        plain = _plain(point)
+        if not plain:
+            self.table[point] = self.GONE
+        elif not any(map(str.isalnum, plain)):
+            self.table[point] = 0x20 if point else 0
+        elif len(plain) == 1:
+            self.table[point] = ord(plain)
+            self.kind[ord(plain)] = 2 if plain.isdigit() else 1
+        else:
+            self.table[point] = self.MANY
+            self.many[point] = plain
 
-    def __missing__(self, point: int) -> str:
-        plain = unicodedata.normalize("NFKD", chr(point))
-        self[point] = "".join(_TWINS.get(ord(c), c) for c in plain if not unicodedata.combining(c) and unicodedata.category(c) != "Cf").casefold()
-        return self[point]
+    def __call__(self, text: str) -> np.ndarray:
+        codes = code_points(text)
+        folded = self.table[codes]
+        if (folded == self.UNKNOWN).any():
+            for point in np.unique(codes[folded == self.UNKNOWN]):
+                self._learn(int(point))
+            folded = self.table[codes]
+        if (folded == self.MANY).any():
+            return self(text.translate(self.many))
+        return folded[folded != self.GONE]
 
 
 _FOLD = _Fold()
-_PAGE = re.compile(r"^[\W_]*(?:p[aá]gina|p[aà]gina|p[aà]g\.?|page)\W*\d+(?:\W+(?:de|of)?\W*\d+)?[\W_]*$", re.I | re.M)
-_BROKEN = re.compile(r"(?<=\w)[-‐­]\s*\n\s*(?=\w)")
-_WORD = re.compile(r"[^\W_]+")
 
 
-def folded_words(text: str | None) -> list[str]:
-    """The words of a text in the form in which they are compared."""
-    if not text:
-        return []
-    text = _BROKEN.sub("", _PAGE.sub(" ", text))
-    return _WORD.findall(text.translate(_FOLD))
+class Words:
+    """The folded words of some texts: their hashes, whether they hold a digit, and the number of their text."""
+
+    def __init__(self, texts: list[str]) -> None:
+        whole = "\x00".join((_PAGE.sub(" ", t) if _PAGED.search(t) else t).replace("\x00", " ") for t in texts)
+        codes = _FOLD(_BROKEN.sub("", whole))
+        kind = _FOLD.kind[codes]
+        word = kind > 0
+        first = np.flatnonzero(word & ~np.concatenate([[False], word[:-1]]))
+        last = np.flatnonzero(word & ~np.concatenate([word[1:], [False]]))
+        self.hashes = Runs(codes).hashes(first, last) if codes.size else np.zeros(0, np.uint64)
+        digits = np.concatenate([[0], np.cumsum(kind == 2)])
+        self.figure = digits[last + 1] > digits[first]
+        self.text = np.cumsum(codes == 0)[first] if codes.size else np.zeros(0, np.int64)
+        self.start = np.searchsorted(self.text, np.arange(len(texts) + 1))
+
+    def runs(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where runs of `size` words of one text begin, and their hashes."""
+        at = np.arange(max(0, len(self.hashes) - size + 1))
+        at = at[self.text[at] == self.text[at + size - 1]]
+        mixed = self.hashes ^ (self.hashes >> np.uint64(32))
+        return at, Runs(mixed).hashes(at, at + size - 1)
+
+
+def folded_words(text: str | None) -> list[int]:
+    """The words of a text as the hashes by which they are compared."""
+    return Words([text or ""]).hashes.tolist()
 
 
 class Pieces:
@@ -71,34 +129,46 @@ class Pieces:
 
     def __init__(self, items: list[tuple[int, str]], window: int, budget: int) -> None:
         self.window, self.budget, self.size = window, budget, window // (budget + 1)
-        self.ids: dict[str, int] = {}
-        self.figures: set[int] = set()
-        self.words: dict[int, list[int]] = {}
-        self.at: dict[tuple[int, ...], list[tuple[int, int]]] = defaultdict(list)
-        for item, text in items:
-            words = [self.ids.setdefault(w, len(self.ids)) for w in folded_words(text)]
-            if len(words) >= window:
-                self.words[item] = words
-                self.figures.update(self.ids[w] for w in folded_words(text) if any(map(str.isdigit, w)))
-                for q in range(len(words) - self.size + 1):
-                    self.at[tuple(words[q : q + self.size])].append((item, q))
         self.least = max(1, window - self.size + 1 - self.size * budget)
-
-    def found(self, text: str | None) -> list[int]:
-        """The items of which the text holds a window."""
-        size = self.size
-        words = [self.ids.get(w, NUMBER if any(map(str.isdigit, w)) else OTHER) for w in folded_words(text)]
-        hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for p in range(len(words) - size + 1):
-            if words[p] >= 0:
-                for item, q in self.at.get(tuple(words[p : p + size]), ()):
-                    hits[item].append((p - q, q))
-        return [item for item, on in hits.items() if len(on) >= self.least and self._verified(words, item, on)]
-
-    def _verified(self, words: list[int], item: int, on: list[tuple[int, int]]) -> bool:
-        span, pattern = self.window - self.size + 1, self.words[item]
-        on.sort()
-        tried: set[tuple[int, int]] = set()
+        words = Words([text for _, text in items])
+        self.items = [item for item, _ in items]
+        self.start, self.words, self.figure = words.start, words.hashes, words.figure
+        at, hashes = words.runs(self.size)
+        long = np.diff(words.start)[words.text[at]] >= window
+        order = np.argsort(hashes[long], kind="stable")
+        self.keys, self.at = hashes[long][order], at[long][order]
+        self.shift = np.uint64(64 - max(10, (16 * len(self.keys)).bit_length()))
+        self.near = np.zeros(1 << (64 - int(self.shift)), bool)
+        self.near[self.keys >> self.shift] = True
+
+    def found(self, texts: list[str]) -> Iterator[tuple[int, int]]:
+        """(number of the text, item) for each item of which a text holds a window."""
+        words = Words(texts)
+        at, hashes = words.runs(self.size)
+        near = np.flatnonzero(self.near[hashes >> self.shift])
+        at, hashes = at[near], hashes[near]
+        low, high = np.searchsorted(self.keys, hashes, "left"), np.searchsorted(self.keys, hashes, "right")
+        many = high - low
+        if not many.sum():
+            return
+        p = np.repeat(at, many)
+        q = self.at[np.repeat(low - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())]
+        text, item = words.text[p], np.searchsorted(self.start, q, "right") - 1
+        order = np.lexsort((q, p - q, item, text))
+        text, item, p, q = text[order], item[order], p[order], q[order]
+        edges = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (item[1:] != item[:-1]), [True]]))
+        for a, b in zip(edges, edges[1:], strict=False):
+            if b - a >= self.least:
+                t, i = int(text[a]), int(item[a])
+                begin, first = words.start[t], self.start[i]
+                on = list(zip((p[a:b] - begin - (q[a:b] - first)).tolist(), (q[a:b] - first).tolist(), strict=True))
+                spelt = slice(begin, words.start[t + 1])
+                if self._verified(words.hashes[spelt], words.figure[spelt], i, on):
+                    yield t, self.items[i]
+
+    def _verified(self, words: np.ndarray, figure: np.ndarray, item: int, on: list[tuple[int, int]]) -> bool:
+        own = slice(self.start[item], self.start[item + 1])
+        span, pattern, marks = self.window - self.size + 1, self.words[own], self.figure[own]
         todo: list[tuple[int, int, int]] = []
         first = 0
         for k, (low, _) in enumerate(on):
@@ -117,12 +187,10 @@ class Pieces:
                 if count >= self.least:
                     todo.append((-count, start, low))
         for _, start, low in sorted(todo):
-            if (start, low) not in tried:
-                tried.add((start, low))
-                left = max(0, start + low - self.budget)
-                part = words[left : start + low + self.window + 2 * self.budget]
-                if myers(pattern[start : start + self.window], part) <= self.budget and anchored(pattern[start : start + self.window], part, self.budget, self.figures):
-                    return True
+            part = slice(max(0, start + low - self.budget), start + low + self.window + 2 * self.budget)
+            one, two = pattern[start : start + self.window].tolist(), words[part].tolist()
+            if myers(one, two) <= self.budget and anchored(one, two, self.budget, marks[start : start + self.window], figure[part]):
+                return True
         return False
 
 
@@ -148,37 +216,37 @@ def myers(pattern: list[int], text: list[int]) -> int:
     return best
 
 
-def anchored(pattern: list[int], text: list[int], budget: int, figures: set[int]) -> bool:
-    """Whether an alignment within the budget leaves at most one word at the ends of the pattern unmatched."""
-    for cut_left, cut_right in ((0, 0), (1, 0), (0, 1)):
-        inner = pattern[cut_left : len(pattern) - cut_right]
-        allowed = budget - cut_left - cut_right
-        starts = [k for k, w in enumerate(text) if w == inner[0]]
-        for start in starts:
-            row = list(range(len(inner)))
-            for word in text[start + 1 :]:
-                before, row[0] = row[0], row[0] + 1
-                for k in range(1, len(inner)):
-                    old = row[k]
-                    change = 0 if inner[k] == word else 2 if inner[k] in figures and (word in figures or word == NUMBER) else 1
-                    row[k] = min(before + change, old + 1, row[k - 1] + 1)
-                    before = old
-                if word == inner[-1] and row[-1] <= allowed:
-                    return True
+def anchored(pattern: list[int], text: list[int], budget: int, figure: np.ndarray, text_figure: np.ndarray) -> bool:
+    """Whether an alignment within the budget keeps the first and the last word of the pattern; a number for another number weighs two."""
+    inner = len(pattern)
+    for start in (k for k, w in enumerate(text) if w == pattern[0]):
+        row = list(range(inner))
+        for at in range(start + 1, len(text)):
+            word, before = text[at], row[0]
+            row[0] += 1
+            for k in range(1, inner):
+                old = row[k]
+                change = 0 if pattern[k] == word else 2 if figure[k] and text_figure[at] else 1
+                row[k] = min(before + change, old + 1, row[k - 1] + 1)
+                before = old
+            if word == pattern[-1] and row[-1] <= budget:
+                return True
     return False
 
 
-def _blocks(rows: list[tuple[int, str]], most: int) -> Iterator[list[tuple[int, str]]]:
-    block, words = [], 0
-    for row in rows:
-        size = len(row[1].split())
-        if block and words + size > most:
-            yield block
-            block, words = [], 0
-        block.append(row)
-        words += size
-    if block:
-        yield block
+def _groups(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
+    """The places of the texts and the texts, in groups of about CHUNK characters."""
+    places, held, size = [], [], 0
+    for place, text in enumerate(texts):
+        if text:
+            places.append(place)
+            held.append(text)
+            size += len(text)
+        if size > CHUNK:
+            yield places, held
+            places, held, size = [], [], 0
+    if held:
+        yield places, held
 
 
 def leaked(documents: DataFrame, items: DataFrame, window: int = WINDOW, budget: int = BUDGET, block: int = BLOCK) -> DataFrame:
@@ -187,20 +255,22 @@ def leaked(documents: DataFrame, items: DataFrame, window: int = WINDOW, budget:
     documents needs doc_id and text, items needs item_id and text.
     """
     spark = documents.sparkSession
-    rows = [(r.item_id, r.text) for r in items.select("item_id", "text").distinct().collect() if r.item_id is not None and r.text]
-    parts = []
-    for some in _blocks(sorted(rows), block):
-        pieces = spark.sparkContext.broadcast(Pieces(some, window, budget))
+    known = items.select("item_id", "text").filter("item_id is not null and text is not null").distinct()
+    total = known.agg(F.sum(F.size(F.split("text", r"\s+")))).collect()[0][0] or 0
+    blocks = -(-total // block)
+    out = None
+    for k in range(blocks):
+        some = known.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
+        pieces = spark.sparkContext.broadcast(Pieces(sorted((r.item_id, r.text) for r in some.collect()), window, budget))
 
         def scan(batches: Iterator[pa.RecordBatch], pieces=pieces) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                pairs = [(doc, item) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for item in pieces.value.found(text)]
-                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in range(2)], names=["doc_id", "item_id"])
-
-        parts.append(documents.select("doc_id", "text").mapInArrow(scan, "doc_id long, item_id long"))
-    if not parts:
-        return spark.createDataFrame([], "doc_id long, item_id long")
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.distinct()
+                pairs = [(places[t], item) for places, texts in _groups(batch.column(1).to_pylist()) for t, item in pieces.value.found(texts)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([p for p, _ in pairs], pa.int32())), pa.array([i for _, i in pairs], pa.int64())], names=["doc_id", "item_id"])
+
+        part = documents.select("doc_id", "text").mapInArrow(scan, "doc_id long, item_id long")
+        if blocks > 1:
+            part = cut_lineage(part)
+            pieces.destroy()
+        out = part if out is None else out.unionByName(part)
+    return spark.createDataFrame([], "doc_id long, item_id long") if out is None else out.distinct()

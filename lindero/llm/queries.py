@@ -71,7 +71,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The leaked items, with the number of documents they leaked into."""
     items = table(spark, sf_dir, "eval_items").select("item_id", "split", "lang")
-    return leakage.leaked(_documents(spark, sf_dir), table(spark, sf_dir, "eval_items")).groupBy("item_id").agg(F.count("*").alias("documents")).join(F.broadcast(items), "item_id")
+    return leakage.leaked(_documents(spark, sf_dir), table(spark, sf_dir, "eval_items")).groupBy("item_id").agg(F.count("*").alias("documents")).join(items, "item_id")
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
