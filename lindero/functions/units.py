@@ -1,10 +1,12 @@
 """Units of measure in strings: segmentation by dynamic programming over tries.
 
-A string such as "miles de €", "M€", "cts. de euro" or "EUR million" is cut into known parts:
-prefixes (scales), roots (with a dimension) and exponents, held in one trie each. Every way to
-cut it has a score, made of the parts' own weights, the prior of the root's dimension in the field
-at hand, and costs for parts in an unusual order; the best way wins. So "m" is months in a field
-of time, and "cent" is the cent in a field of money.
+A string such as "miles de €", "M€", "cts. de euro", "EUR million" or "km²" is cut into known parts:
+prefixes (scales), roots (with the dimensions that they may have) and exponents, held in one trie
+each. An exponent raises prefix and root together and changes the dimension (length to area, time
+to no known one). Every way to cut a string has a score, made of the parts' own weights, costs for
+parts in an unusual order, and the prior of the resulting dimension in the field at hand; the best
+way wins. So "m" is months in a field of time and metres in one of length, "m²" is an area in any
+field, and "cent" is the cent in a field of money.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ PREFIXES = {
     "cent de": Fraction(1, 100), "cents de": Fraction(1, 100), "cent": Fraction(1, 100), "cents": Fraction(1, 100), "cts.": Fraction(1, 100), "cts. de": Fraction(1, 100), "cts": Fraction(1, 100), "cts de": Fraction(1, 100),
     "centimo de": Fraction(1, 100), "centimos de": Fraction(1, 100), "centim de": Fraction(1, 100), "centims de": Fraction(1, 100), "centim d'": Fraction(1, 100), "centims d'": Fraction(1, 100), "centimos": Fraction(1, 100), "centims": Fraction(1, 100),
 }
-#: root: (dimension, size in the dimension's base: euro cents, days, square metres, pieces)
+#: root: (dimension, size in the dimension's base: euro cents, days, metres, square metres, pieces)
 ROOTS = {
     "€": ("money", 100), "eur": ("money", 100), "euro": ("money", 100), "euros": ("money", 100), "eurs": ("money", 100),
     "cent": ("money", 1), "cents": ("money", 1), "centimo": ("money", 1), "centimos": ("money", 1), "centim": ("money", 1), "centims": ("money", 1), "cts.": ("money", 1), "cts": ("money", 1),
@@ -34,11 +36,25 @@ ROOTS = {
     "a": ("time", 360), "ano": ("time", 360), "anos": ("time", 360), "any": ("time", 360), "anys": ("time", 360), "year": ("time", 360), "years": ("time", 360), "yr": ("time", 360),
     "metro": ("length", 1), "metros": ("length", 1), "unidades": ("count", 1), "unidad": ("count", 1), "unitats": ("count", 1), "units": ("count", 1), "visitas": ("count", 1), "consultas": ("count", 1), "%": ("share", 1),
 }
+#: Roots that another dimension has too.
+MORE_ROOTS = {
+    "m": ("length", 1), "m.": ("length", 1), "meter": ("length", 1), "metre": ("length", 1), "metres": ("length", 1), "metro cuadrado": ("area", 1), "metros cuadrados": ("area", 1), "metre quadrat": ("area", 1), "metres quadrats": ("area", 1),
+    "square metre": ("area", 1), "square metres": ("area", 1), "a": ("area", 100), "ha": ("area", 10_000), "hectarea": ("area", 10_000), "hectareas": ("area", 10_000), "d": ("count", 12), "h": ("time", Fraction(1, 24)), "hora": ("time", Fraction(1, 24)), "horas": ("time", Fraction(1, 24)),
+    "hores": ("time", Fraction(1, 24)), "hour": ("time", Fraction(1, 24)), "hours": ("time", Fraction(1, 24)), "trimestre": ("time", 90), "trimestres": ("time", 90), "quarter": ("time", 90), "quarters": ("time", 90), "semestre": ("time", 180), "semestres": ("time", 180),
+}
 EXPONENTS = {"²": 2, "2": 2, "^2": 2, "³": 3, "3": 3, "^3": 3}
+#: What a dimension becomes when it is raised; all others have no name and fit no field.
+RAISED = {("length", 2): "area", ("length", 3): "volume"}
 
-#: How likely a root's dimension is in a field; other dimensions get UNLIKELY.
-PRIORS = {"money": {"money": 0.0}, "time": {"time": 0.0}}
-UNLIKELY = -6.0
+#: Log-odds of the dimensions in each field: what a column of amounts, terms, measures or numbers of pieces is found to hold.
+PRIORS = {
+    "money": {"money": -0.1, "share": -3.0, "count": -4.0, "time": -5.0, "area": -6.0, "length": -6.0},
+    "time": {"time": -0.1, "count": -3.5, "share": -4.0, "money": -5.0, "length": -6.0, "area": -6.0},
+    "length": {"length": -0.1, "area": -2.5, "volume": -3.0, "count": -3.5, "time": -5.0, "money": -6.0},
+    "area": {"area": -0.1, "length": -2.5, "volume": -3.0, "count": -3.5, "time": -5.0, "money": -6.0},
+    "count": {"count": -0.1, "share": -2.0, "money": -4.0, "time": -4.0, "length": -4.0, "area": -4.0},
+}
+UNLIKELY = -9.0
 
 
 @dataclass(frozen=True)
@@ -56,26 +72,28 @@ def plain(text: str) -> str:
     return re.sub(r"\s+", " ", "".join(c for c in text if not unicodedata.combining(c))).strip().lower()
 
 
-def _trie(words: dict) -> dict:
+def _trie(*tables: dict) -> dict:
     root: dict = {}
-    for word, value in words.items():
-        node = root
-        for ch in word:
-            node = node.setdefault(ch, {})
-        node[""] = value
+    for table in tables:
+        for word, value in table.items():
+            node = root
+            for ch in word:
+                node = node.setdefault(ch, {})
+            node.setdefault("", []).append(value)
     return root
 
 
-_TRIES = {"prefix": _trie(PREFIXES), "root": _trie(ROOTS), "exponent": _trie(EXPONENTS)}
+_TRIES = {"prefix": _trie(PREFIXES), "root": _trie(ROOTS, MORE_ROOTS), "exponent": _trie(EXPONENTS)}
 #: Part after part, and its cost; "" is the start. A prefix may follow its root ("EUR million", "EUR cent").
-_ORDER = {("", "prefix"): 0.0, ("", "root"): 0.0, ("prefix", "root"): 0.0, ("root", "exponent"): 0.0, ("root", "prefix"): -1.0}
+_ORDER = {("", "prefix"): 0.0, ("", "root"): 0.0, ("prefix", "root"): 0.0, ("prefix", "prefix"): -0.5, ("root", "exponent"): 0.0, ("root", "prefix"): -1.0}
+#: No unit has more words than two prefixes and a root.
+_WORDS_OF_UNIT = 2 * max(len(w.split()) for w in PREFIXES) + max(len(w.split()) for w in (*ROOTS, *MORE_ROOTS))
 
 
 def _matches(text: str, at: int, kind: str) -> list[tuple[int, object]]:
     out, node = [], _TRIES[kind]
     for k in range(at, len(text) + 1):
-        if "" in node:
-            out.append((k, node[""]))
+        out += [(k, value) for value in node.get("", ())]
         if k == len(text) or text[k] not in node:
             break
         node = node[text[k]]
@@ -85,16 +103,14 @@ def _matches(text: str, at: int, kind: str) -> list[tuple[int, object]]:
 @lru_cache(65536)
 def segment(text: str, field: str) -> Unit | None:
     """The best reading of the whole string as a unit, in a field of dimension `field`; None if it is none."""
-    text = plain(text).strip("().,:; ")
+    text = plain(text.replace("²", "^2").replace("³", "^3")).strip("().,:; ")
     priors = PRIORS.get(field, {})
-    # (position, last part) -> (score, dimension, size)
-    best: dict[tuple[int, str], tuple[float, str, Fraction]] = {(0, ""): (0.0, "", Fraction(1))}
+    # (position, last part, dimension) -> (score, size)
+    best: dict[tuple[int, str, str], tuple[float, Fraction]] = {(0, "", ""): (0.0, Fraction(1))}
+    by_place: dict[int, set[tuple[str, str]]] = {0: {("", "")}}
     for at in range(len(text)):
-        for last in ("", "prefix", "root", "exponent", "after"):
-            state = best.get((at, last))
-            if state is None:
-                continue
-            score, dimension, size = state
+        for last, dimension in sorted(by_place.get(at, ())):
+            score, size = best[at, last, dimension]
             skip = at
             while skip < len(text) and text[skip] in " -" and at:
                 skip += 1
@@ -103,19 +119,20 @@ def segment(text: str, field: str) -> Unit | None:
                 if cost is None:
                     continue
                 for end, value in _matches(text, skip, kind):
-                    longer = 0.1 * (end - skip)
-                    joined = skip == at and last == "prefix" and kind == "root" and at > 3 and text[at - 1].isalpha() and text[skip].isalpha()
+                    gain, after, now = score + cost + 0.1 * (end - skip), dimension, kind
                     if kind == "root":
-                        new = (score + cost + longer + priors.get(value[0], UNLIKELY) - 3.0 * joined, value[0], size * value[1])
+                        joined = skip == at and last == "prefix" and at > 3 and text[at - 1].isalpha() and text[skip].isalpha()
+                        after, grown, gain = value[0], size * value[1], gain - 3.0 * joined
                     elif kind == "exponent":
-                        new = (score + cost + longer, dimension, size)
+                        after, grown = RAISED.get((dimension, value), f"{dimension}^{value}"), size**value
                     else:
-                        new = (score + cost + longer, dimension, size * Fraction(value))
-                    key = (end, "after" if kind == "prefix" and last == "root" else kind)
-                    if key not in best or best[key][0] < new[0]:
-                        best[key] = new
-    done = [best[len(text), last] for last in ("root", "exponent", "after") if (len(text), last) in best and text]
-    if not done:
+                        grown, now = size * Fraction(value), "after" if last == "root" else kind
+                    key = (end, now, after)
+                    if key not in best or best[key][0] < gain:
+                        best[key] = (gain, grown)
+                        by_place.setdefault(end, set()).add((now, after))
+    done = [(best[len(text), last, dimension][0] + priors.get(dimension, UNLIKELY), dimension, best[len(text), last, dimension][1]) for last, dimension in sorted(by_place.get(len(text), ())) if last in ("root", "exponent", "after")]
+    if not done or not text:
         return None
     score, dimension, size = max(done, key=lambda d: d[0])
     return Unit(dimension, size, score)
@@ -130,7 +147,7 @@ def unit_in_note(note: str, field: str) -> Unit | None:
     best: tuple[int, float, Unit] | None = None
     words = [(m.start(), m.end()) for m in _PHRASE.finditer(note)]
     for k in range(len(words)):
-        for j in range(k, min(len(words), k + 5)):
+        for j in range(k, min(len(words), k + _WORDS_OF_UNIT)):
             part = note[words[k][0] : words[j][1]]
             if re.search(r"\.\s+[A-ZÀ-Þ]", part) or "(" in part or ":" in part:
                 break

@@ -28,6 +28,13 @@ def test_quantities(text, field, amount):
 
 def test_units_depend_on_the_field():
     assert segment("m", "time").size == 30 and segment("k€", "money").size == 100_000
+    assert segment("m", "length").dimension == "length" and segment("a", "time").size == 360 and segment("a", "area").size == 100
+    for field in ("time", "money", "length", "area"):
+        assert (segment("m²", field).dimension, segment("m²", field).size) == ("area", 1)
+    assert segment("km²", "area").size == 1_000_000 and segment("km", "length").size == 1_000 and segment("cm3", "length").size == Fraction(1, 10**6)
+    assert segment("días²", "time").dimension == "time^2" and unit_in_note("superficie en m²", "time") is None
+    assert segment("miles de millones de euros", "money").size == 10**11 and segment("cent", "money").size == 1
+    assert segment("%", "money").dimension == "share" and segment("unidades", "money").dimension == "count"
     assert segment("xyz", "money") is None and segment("", "money") is None
     assert unit_in_note("Incluye mil unidades de repuesto.", "money") is None
     assert unit_in_note("Amount in EUR million.", "money").size == 100_000_000
