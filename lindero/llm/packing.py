@@ -2,15 +2,16 @@
 
 Best-two-fit. Texts are counted in tokens of a public tokenizer; one larger than a container is
 divided into full containers and a rest, all others stay whole. The narrow rows (key, piece, size)
-are spread evenly over shards whose number follows their count, so that a shard has a bounded
-number of rows however many texts there are and whatever is hot among them. Within a shard a
+are spread by a digest of key and piece over shards whose number follows their count, so that a
+shard has a bounded number of rows however many texts there are, and the packing doesn't depend on
+how the table is partitioned. Within a shard a
 container is filled greedily with the largest piece that still fits; then, as long as it pays, its
 smallest piece gives way to the two unpacked pieces that fit the widened gap most tightly. Sizes
 are held as bit sets, so a step looks at no list of pieces. A shard leaves at most a handful of
 containers half full.
 
 Defined results: null and empty texts take no room and come out with a null container; equal
-texts are packed each; ties in size go in order of key and piece; texts of any length are counted
+texts are packed each, rows delivered twice too; ties in size go in order of key and piece; texts of any length are counted
 whole.
 """
 
@@ -29,27 +30,29 @@ from pyspark.sql import functions as F
 from lindero.session import cut_lineage
 
 CAPACITY = 2048
+#: A vocabulary in the tiktoken format; the path must be readable on all executors (a shared folder, or one that addFile ships).
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+# How the tokenizer parts a text before it merges bytes.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Rows of a shard, on average.
 SHARD = 20_000
 
 
 @lru_cache(4)
-def _encoding(path: str):  # noqa: ANN202
-    import public_tokenizers
+def _encoding(path: str, pattern: str):  # noqa: ANN202
     import tiktoken
 
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def token_counts(documents: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
+def token_counts(documents: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER, pattern: str = PATTERN) -> DataFrame:
     """(key, n_tokens): 0 for null and empty texts."""
     kind = documents.schema[key].dataType.simpleString()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = _encoding(tokenizer)
+        encoding = _encoding(tokenizer, pattern)
         for batch in batches:
             sizes = [len(encoding.encode_ordinary(t)) if t else 0 for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], names=[key, "n_tokens"])
@@ -127,9 +130,11 @@ def best_two_fit(sizes: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
 
 def pack(counts: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:
     """(container_id, key, piece_no, first_token, n_tokens) from (key, n_tokens)."""
-    rows = cut_lineage(divided(counts.select(key, "n_tokens"), capacity))
-    shards = max(1, -(-rows.count() // shard))
-    spread = rows.withColumn("_shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)))
+    rows = cut_lineage(divided(counts.select(key, "n_tokens"), capacity).groupBy(key, "piece_no", "first_token", "n_tokens").agg(F.count("*").alias("_copies")))
+    total = rows.agg(F.sum("_copies")).collect()[0][0] or 0
+    shards = max(1, -(-total // shard))
+    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).drop("_copies")
+    spread = rows.withColumn("_shard", F.pmod(F.xxhash64(key, "piece_no", "_copy"), F.lit(shards)))
     kind = counts.schema[key].dataType.simpleString()
 
     def fill(part: pd.DataFrame) -> pd.DataFrame:

@@ -100,6 +100,32 @@ def test_consistent_form(spark):
     assert lookalike.consistent_form(spark.createDataFrame([("é" + "é" * 50_000,)], "s string"), "s", "f").select(F.length("f")).collect()[0][0] == 50_001
 
 
+def test_form_is_nfc(spark):
+    """All compositions of two characters, and random clusters of up to six marks, come out as Unicode's own NFC."""
+    rng = random.Random(6)
+    marks = [chr(p) for p in range(0x300, 0x370) if unicodedata.combining(chr(p)) and p != 0x34F and len(unicodedata.normalize("NFD", chr(p))) == 1 and unicodedata.normalize("NFC", chr(p)) == chr(p)]
+    pairs = [unicodedata.normalize("NFD", chr(p)) for p in range(0xC0, 0x11940) if unicodedata.decomposition(chr(p))[:1] not in ("", "<")]
+    pairs = [p for p in pairs if not any(lookalike.unicodedata.category(c) in ("Cf", "Zs") for c in p)]
+    clusters = ["".join([rng.choice("aeiounAEIOUsScd"), *rng.choices(marks, k=rng.randint(1, 6))]) for _ in range(400)]
+    hangul = ["\u1112\u1161\u11ab", "가\u11a8", "\u1100\u1161", "\u09c7\u09be", "a\u0323\u0302\u0308", "x\u1161", "\u1161", "\u0b47\u0b56"]
+    texts = [*pairs, *clusters, *hangul]
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, s string")
+    forms = {r.k: r.form for r in lookalike.consistent_form(frame, "s", "form").collect()}
+    images = {k: unicodedata.normalize("NFC", "".join(chr(x) for c in t for x in lookalike._image(ord(c)))) for k, t in enumerate(texts)}
+    other = [(ascii(t), ascii(forms[k]), ascii(images[k])) for k, t in enumerate(texts) if forms[k] != images[k] and not set(unicodedata.normalize("NFD", t)) & set(lookalike.CYRILLIC_TWINS | lookalike.GREEK_TWINS)]
+    assert other == []
+    assert len(pairs) > 900
+
+
+def test_letters_of_other_scripts(spark):
+    cases = {"Ꭺbierto": "Abierto", "ꓮbierto": "Abierto", "Contratօ": "Contrato", "ցarantia": "garantia", "Ⲟbra": "Obra", "Ҽ": "Ҽ", "Հայաստան": "Հայաստան", "σ": "σ", "РОСА": "POCA", "РОСА дом": "РОСА дом"}
+    frame = spark.createDataFrame([(s, e) for s, e in cases.items()], "s string, e string")
+    assert {r.s: r.form for r in lookalike.consistent_form(frame, "s", "form").collect()} == cases
+    long = ["z" * 100_000 + " é" + "\u0301" * 3_000, "aé" * 500_000, "aé " * 300_000 + "Ａ"]
+    frame = spark.createDataFrame([(x,) for x in long], "s string")
+    assert lookalike.consistent_form(frame, "s", "form").filter("length(form) = length(s)").count() == 3
+
+
 # --- 3 ---------------------------------------------------------------------------------------
 
 
@@ -167,6 +193,12 @@ def test_packing_in_tables(spark):
     whole = sorted((r.first_token, r.n_tokens) for r in packed if r.doc_id == 5)
     assert all(a + n == b for (a, n), (b, _) in itertools.pairwise(whole)) and all(n == 2048 for _, n in whole[:-1])
     assert packing.pack(packing.token_counts(documents.limit(0))).count() == 0
+    # how the table is parted doesn't matter, and rows of one key are spread
+    sizes = spark.range(3000).selectExpr("id as doc_id", "id * 37 % 2000 + 1 as n_tokens")
+    one, other = (sorted(map(tuple, packing.pack(sizes.repartition(n), shard=500).collect())) for n in (1, 7))
+    assert one == other and len({c >> 32 for c, *_ in one}) == 6
+    hot = packing.pack(sizes.selectExpr("1L as doc_id", "700L as n_tokens"), shard=500)
+    assert hot.count() == 3000 and hot.selectExpr("container_id >> 32 as s").distinct().count() == 6
 
 
 # --- 8 ---------------------------------------------------------------------------------------
