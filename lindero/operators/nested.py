@@ -6,7 +6,8 @@ object or directly the field's value, spans as a list, one object, {"range": [a,
 canonical nested column; Arrow batches of it are then flattened without looking at rows: list
 offsets give the parent index of each child (list_parent_indices), children come from the flattened
 value buffers, keys are carried down by take on the parent index, and a child's number within its
-parent is its index less the parent's first offset.
+parent is its index less the parent's first offset. A level is built down to the one asked for; `tables`
+gives all levels from one parse. Values that are themselves JSON come out scalar by scalar, at any depth.
 
 Defined results: null, broken and non-object bodies give no rows; a record delivered again counts
 once, the latest readable body; missing, null and empty members give no children; nulls among list
@@ -15,13 +16,19 @@ members keep their number but give no span; numbers count from 1.
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from lindero.session import cut_lineage
 
 _SPAN = "struct<start:int,end:int,page:int>"
 _RESULT = f"struct<value:string,confidence:double,method:string,needs_review:boolean,reference:string,spans:array<{_SPAN}>>"
@@ -92,19 +99,18 @@ class _Level:
         return pc.struct_field(self.rows, name)
 
 
-def _flat(batch: pa.RecordBatch) -> dict[str, tuple[_Level, dict[str, pa.Array]]]:
-    """Levels of a batch with the keys of each of their rows."""
-    lots = _Level(batch.column(batch.schema.get_field_index("lots")))
-    keys: dict[str, pa.Array] = {"record_id": batch.column(0).take(lots.parent), "lot_no": lots["lot_no"]}
-    out = {"lots": (lots, keys)}
-    level, inherited = lots, keys
-    for name, child, add in (("fields", "fields", ("field", None)), ("results", "results", ("result_no", "number")), ("spans", "spans", ("span_no", "number"))):
-        below = _Level(level[child])
-        inherited = {k: v.take(below.parent) for k, v in inherited.items()}
-        inherited[add[0]] = below.number if add[1] else below[add[0]]
-        out[name] = (below, dict(inherited))
-        level = below
-    return out
+def _flat(batch: pa.RecordBatch, wanted: str) -> tuple[_Level, dict[str, pa.Array]]:
+    """A level of a batch with the keys of each of its rows; levels below it aren't built."""
+    level = _Level(batch.column(batch.schema.get_field_index("lots")))
+    keys: dict[str, pa.Array] = {"record_id": batch.column(0).take(level.parent), "lot_no": level["lot_no"]}
+    for name, key, counted in (("lots", "", False), ("fields", "field", False), ("results", "result_no", True), ("spans", "span_no", True)):
+        if key:
+            level = _Level(level[name])
+            keys = {k: v.take(level.parent) for k, v in keys.items()}
+            keys[key] = level.number if counted else level[key]
+        if name == wanted:
+            break
+    return level, keys
 
 
 #: Columns of each level besides the inherited keys.
@@ -123,7 +129,7 @@ def flatten(nested: DataFrame, level: str) -> DataFrame:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                below, inherited = _flat(batch)[level]
+                below, inherited = _flat(batch, level)
                 columns = {**inherited, **{name: below[name] for name in own}}
                 yield pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns.values()], names=list(columns))
 
@@ -137,16 +143,46 @@ def spans(records: DataFrame) -> DataFrame:
     return flat.select("record_id", "lot_no", "field", "result_no", F.col("start").alias("start_pos"), F.col("end").alias("end_pos"))
 
 
+def leaves(text: str) -> list[tuple[str, str | None]]:
+    """(path, leaf) of each scalar in a JSON text, depth first, however deep; [] and {} are leaves too. Numbers keep their spelling; what isn't JSON is one leaf."""
+    try:
+        whole = _JSON.decode(text)
+    except (ValueError, RecursionError):
+        return [("$", text)]
+    out: list[tuple[str, str | None]] = []
+    todo: list[tuple[str, object]] = [("$", whole)]
+    while todo:
+        path, value = todo.pop()
+        if isinstance(value, dict) and value:
+            todo += [(f"{path}.{k}" if _PLAIN_NAME.fullmatch(k) else f"{path}[{json.dumps(k, ensure_ascii=False)}]", v) for k, v in reversed(value.items())]
+        elif isinstance(value, list) and value:
+            todo += [(f"{path}[{k}]", value[k]) for k in range(len(value) - 1, -1, -1)]
+        else:
+            out.append((path, value if value is None or isinstance(value, str) else json.dumps(value)))
+    return out
+
+
+_JSON = json.JSONDecoder(parse_int=str, parse_float=str)
+_PLAIN_NAME = re.compile(r"\w+")
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("path", T.StringType()), T.StructField("leaf", T.StringType())])))
+def _leaves(values: pd.Series) -> pd.Series:
+    return values.map(lambda v: [{"path": p, "leaf": x} for p, x in leaves(v)], na_action="ignore")
+
+
 def value_leaves(nested: DataFrame) -> DataFrame:
-    """(record_id, lot_no, field, result_no, path, leaf): the members of results' values, with their path; a plain value has the path $."""
+    """(record_id, lot_no, field, result_no, path, leaf): the scalars of results' values at any depth, with their path; a plain value has the path $."""
     results = flatten(nested, "results").filter("value is not null")
-    parsed = F.when(F.col("value").rlike(r"^\s*[\[{]"), F.try_parse_json("value"))
-    kind = F.schema_of_variant(parsed)
-    keyed = F.transform(F.map_entries(F.from_json("value", "map<string,string>")), lambda e: F.struct(F.concat(F.lit("$."), e["key"]).alias("path"), e["value"].alias("leaf")))
-    listed = F.transform(F.from_json("value", "array<string>"), lambda e, k: F.struct(F.concat(F.lit("$["), k.cast("string"), F.lit("]")).alias("path"), e.alias("leaf")))
+    deep = F.when(F.col("value").rlike(r"^\s*[\[{]"), F.col("value"))
     plain = F.array(F.struct(F.lit("$").alias("path"), F.col("value").alias("leaf")))
-    leaves = F.when(kind.startswith("OBJECT"), keyed).when(kind.startswith("ARRAY"), listed).otherwise(plain)
-    return results.select("record_id", "lot_no", "field", "result_no", F.inline(leaves))
+    return results.select("record_id", "lot_no", "field", "result_no", F.inline(F.coalesce(_leaves(deep), plain)))
+
+
+def tables(records: DataFrame) -> dict[str, DataFrame]:
+    """All flat tables of the records from one parse: the canonical column is written once, and each level is read from it."""
+    nested = cut_lineage(canonical(records))
+    return {level: flatten(nested, level) for level in LEVELS} | {"values": value_leaves(nested)}
 
 
 def attempts(records: DataFrame) -> DataFrame:
