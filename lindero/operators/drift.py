@@ -1,20 +1,22 @@
 """Problem 5: files of a feed whose record layout drifts.
 
-Two parts. `layout_changes` profiles the top-level members of each file (which there are, of what
-type, and a histogram of how their values look) and compares each file with the one before it in
-its feed. A removed and an added member of the same type whose histograms overlap enough are one
-renamed member; the best partner wins on both sides. `ingest` is rescue-column ingestion: records
-are forced into a target schema, members that it doesn't know and values that can't be cast are
-kept as JSON in `_rescued`; `promotions` turns renames into approved aliases of target columns, and
-`replay` casts the rescued values of approved aliases into the typed columns; what can't be stored
-there stays in `_rescued`.
+Rescue-column ingestion. `ingest` forces each record into a target schema; members that the schema
+doesn't know and values that can't be cast are kept as JSON in `_rescued`, so nothing is lost, and
+what each file delivered is kept beside them. `layout_changes` reads from what was ingested how the
+layout of a file departs from that of the one before it: members that the earlier layout doesn't
+know, members that it knows and that no record delivers, members of another type. An unknown and a
+missing member of one type whose values are alike enough are one renamed member; the best partner
+wins on both sides. `promotions` turns renames into aliases of target columns, by feed and range of
+files; an approver may review them (`review`) and pass back a part; `replay` casts the rescued
+values of approved aliases into the typed columns within the row; what can't be stored there stays
+in `_rescued`.
 
 Everything is grouped by (feed, file_no, member) with partial aggregation, so a feed that holds a
 third of all rows isn't gathered in one task; only profiles, whose size follows the number of
-distinct members and looks, are joined.
+distinct members and looks, are joined. Records are joined with the approvals of their feed alone.
 
 Defined results: null, broken and non-object payloads have no members, but their file counts as
-present; files delivered twice and repeated rows count once; a member that is null throughout a
+present; in the table, files delivered twice and repeated rows count once; a member that is null throughout a
 file is present without a type; delivery order doesn't matter, file_no does; a file whose
 predecessor is missing has no changes.
 """
@@ -49,22 +51,26 @@ def json_type(value: Column) -> Column:
 
 
 def members(records: DataFrame) -> DataFrame:
-    """(feed, file_no, member, value VARIANT, type): a row for each top-level member of each record."""
-    exploded = records.select("feed", "file_no", F.explode(F.from_json("payload", "map<string,variant>")).alias("member", "value"))
+    """(feed, file_no, member, value VARIANT, type): a row for each top-level member of each record as it was read; no record is shuffled."""
+    exploded = parsed(records).select("feed", "file_no", F.explode("_m").alias("member", "value"))
     return exploded.withColumn("type", F.when(F.col("value").isNotNull(), json_type(F.col("value"))))
 
 
-def _look(value: Column, kind: Column) -> Column:
-    """What a value looks like: the shape and, if short and without digits, the words of a string; the size of a number; the members of an object."""
-    text = F.try_variant_get(value, "$", "string")
-    worded = F.when(~text.rlike("[0-9]") & (F.length(text) <= 48), F.concat(F.lit("w:"), F.lower(F.split(text, " ")[0])))
-    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\s*(?:€|\bEUR\b|\beuros?\b)\s*", ""), "[0-9]+", "9"), r"(9[.,])+9", "9"), r"\p{L}+", "a")
+def _looks(value: Column, kind: Column) -> Column:
+    """What a value looks like, from the whole of it: the words of a string without digits, else its shape; the size of a number; the members of an object; the kinds of an array's elements."""
+    text = F.lower(F.try_variant_get(value, "$", "string"))
+    words = F.array_distinct(F.split(F.trim(text), " +"))
+    bare = F.regexp_replace(text, r"\s*(?:€|\beuros?\b|\beur\b)\s*", "")
+    shape = F.regexp_replace(F.regexp_replace(bare, r"\d+(?:[.,]\d+)*", "9"), r"\p{L}+", "a")
     number = F.try_variant_get(value, "$", "double")
     size = F.when(F.abs(number) <= 1, "n:unit").when(F.abs(number) < 1000, "n:small").otherwise("n:large")
-    inner = F.to_json(value)
-    keys = F.concat(F.lit("o:"), F.array_join(F.array_sort(F.map_keys(F.from_json(inner, "map<string,string>"))), ","))
-    first = F.concat(F.lit("a:"), F.substring(F.regexp_replace(F.regexp_replace(inner, "[0-9]+", "9"), r"(9[.,])+9", "9"), 1, 16))
-    return F.when(kind == "string", F.coalesce(worded, F.concat(F.lit("s:"), F.substring(shape, 1, 40)))).when(kind == "number", size).when(kind == "boolean", "b").when(kind == "object", keys).otherwise(first)
+    keys = F.concat(F.lit("o:"), F.array_join(F.array_sort(F.map_keys(F.from_json(F.to_json(value), "map<string,string>"))), ","))
+    kinds = F.regexp_replace(F.schema_of_variant(value), r"DECIMAL\(\d+,\d+\)|BIGINT|DOUBLE", "NUMBER")
+    of = lambda *parts: F.xxhash64(*parts)
+    return (
+        F.when(kind == "string", F.when(text.rlike("[0-9]"), F.array(of(F.lit("s"), shape))).otherwise(F.transform(words, lambda w: of(F.lit("w"), w))))
+        .when(kind == "number", F.array(of(size))).when(kind == "boolean", F.array(of(F.lit("b")))).when(kind == "object", F.array(of(keys))).otherwise(F.array(of(F.lit("a"), kinds)))
+    )
 
 
 def _bare(name: Column) -> Column:
@@ -73,8 +79,9 @@ def _bare(name: Column) -> Column:
 
 def layout_profile(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(feed, file_no, member, types) and (feed, file_no, member, look, share)."""
-    looks = members(records).withColumn("look", F.when(F.col("type").isNotNull(), _look(F.col("value"), F.col("type"))))
-    counted = cut_lineage(looks.groupBy("feed", "file_no", "member", "type", "look").agg(F.count("*").alias("n")))
+    looks = members(records).select("feed", "file_no", "member", "type", F.when(F.col("type").isNotNull(), _looks(F.col("value"), F.col("type"))).alias("looks"))
+    each = looks.select("feed", "file_no", "member", "type", F.explode_outer("looks").alias("look"), (1.0 / F.size("looks")).alias("w"))
+    counted = cut_lineage(each.groupBy("feed", "file_no", "member", "type", "look").agg(F.sum("w").alias("n")))
     present = counted.groupBy("feed", "file_no", "member").agg(F.array_join(F.array_sort(F.collect_set("type")), "|").alias("types"))
     known = counted.filter("type is not null")
     total = known.groupBy("feed", "file_no", "member").agg(F.sum("n").alias("all"))
@@ -82,9 +89,9 @@ def layout_profile(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     return present, shares.select("feed", "file_no", "member", "look", (F.col("n") / F.col("all")).alias("share"))
 
 
-def layout_changes(records: DataFrame) -> DataFrame:
+def layout_changes(records: DataFrame, profile: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(feed, file_no, change_kind, field_before, field_after): what changed between file_no - 1 and file_no."""
-    present, shares = layout_profile(records)
+    present, shares = profile or layout_profile(records)
     files = records.select("feed", "file_no").distinct()
     pairs = files.join(files.select("feed", (F.col("file_no") + 1).alias("file_no")), ["feed", "file_no"])
     now = present.join(pairs, ["feed", "file_no"], "left_semi").select("feed", "file_no", "member", F.col("types").alias("types_now"))
@@ -147,62 +154,111 @@ def cast_member(value: Column, kind: str) -> Column:
     return F.when(of == "number", F.try_variant_get(value, "$", kind))
 
 
+def parsed(records: DataFrame) -> DataFrame:
+    """The first step of ingestion: `records` with their members in `_m` (empty if the payload is no object)."""
+    return records.withColumn("_m", F.coalesce(F.from_json("payload", "map<string,variant>"), F.create_map().cast("map<string,variant>")))
+
+
+def delivered(records: DataFrame) -> DataFrame:
+    """Each record once, the latest delivery, with its members in `_m`."""
+    once = records.groupBy("feed", "file_no", "row_no").agg(F.max_by(F.struct("file_name", "delivered_at", "payload"), F.struct("delivered_at", "file_name", "payload")).alias("r")).select("feed", "file_no", "row_no", "r.*")
+    return parsed(once).drop("payload")
+
+
 def ingest(records: DataFrame) -> DataFrame:
     """One row for each record in the target layout, with `_rescued`: MAP of member to JSON of all that it couldn't take."""
-    keep = ["feed", "file_no", "row_no", "file_name", "delivered_at"]
-    once = records.groupBy("feed", "file_no", "row_no").agg(F.max_by(F.struct("file_name", "delivered_at", "payload"), F.struct("delivered_at", "file_name", "payload")).alias("r")).select("feed", "file_no", "row_no", "r.*")
-    parsed = once.select(*keep, F.coalesce(F.from_json("payload", "map<string,variant>"), F.create_map().cast("map<string,variant>")).alias("_m"))
-    typed = parsed.select("*", *(cast_member(F.col("_m")[member], kind).alias(name) for name, (member, kind) in TARGET.items()))
+    typed = delivered(records).select("*", *(cast_member(F.col("_m")[member], kind).alias(name) for name, (member, kind) in TARGET.items()))
     taken = {member: [n for n, (m, _) in TARGET.items() if m == member] for member, _ in TARGET.values()}
     fits = F.create_map(*(x for member, names in taken.items() for x in (F.lit(member), F.greatest(*(F.col(n).isNotNull() for n in names)) if len(names) > 1 else F.col(names[0]).isNotNull())))
     rest = F.map_filter("_m", lambda k, v: v.isNotNull() & (json_type(v).isNotNull()) & ~F.coalesce(fits[k], F.lit(False)))
     return typed.withColumn("_rescued", F.transform_values(rest, lambda _, v: F.to_json(v))).drop("_m")
 
 
-def promotions(changes: DataFrame) -> DataFrame:
-    """(alias, member): approved names of the target's members, by following the renames of all feeds; the nearest member wins.
+def promotions(changes: DataFrame, present: DataFrame) -> DataFrame:
+    """(feed, alias, member, first_file, last_file, own): names under which a feed delivers a member of the target.
 
-    Each step adds names that weren't known, so the number of distinct names bounds the steps.
+    Where a feed renames a member itself, its new name stands for the member from that file on, up to the
+    file before it is renamed again or removed (`own`). In a feed that never renamed it, a name stands for
+    the member that the renames of all feeds lead to, the nearest first, in all files. `present` needs
+    (feed, member). Each step adds names that weren't known, so the number of names bounds the steps.
     """
     spark = changes.sparkSession
-    edges = changes.filter("change_kind = 'renamed'").select("field_before", "field_after").distinct()
+    goals = sorted({m for m, _ in TARGET.values()})
+    renames = cut_lineage(changes.filter("change_kind = 'renamed'").select("feed", "file_no", "field_before", "field_after"))
+    ends = changes.filter("change_kind in ('renamed', 'removed')").select("feed", F.col("field_before").alias("alias"), F.col("file_no").alias("end"))
+
+    # within a feed: forward along the renames, file by file
+    step = own = renames.filter(F.col("field_before").isin(goals)).select("feed", F.col("field_after").alias("alias"), F.col("field_before").alias("member"), F.col("file_no").alias("first_file"))
+    while not step.isEmpty():
+        later = step.select("feed", F.col("alias").alias("field_before"), "member", "first_file").join(renames, ["feed", "field_before"]).filter("file_no > first_file")
+        after = later.groupBy("feed", "field_before", "member", "first_file").agg(F.min_by(F.struct("field_after", "file_no"), "file_no").alias("n"))
+        step = cut_lineage(after.select("feed", F.col("n.field_after").alias("alias"), "member", F.col("n.file_no").alias("first_file")).filter(~F.col("alias").isin(goals)))
+        own = own.unionByName(step)
+    own = own.filter(~F.col("alias").isin(goals)).distinct().join(ends, ["feed", "alias"], "left")
+    own = own.groupBy("feed", "alias", "member", "first_file").agg((F.min(F.when(F.col("end") > F.col("first_file"), F.col("end"))) - 1).cast("int").alias("last_file"))
+
+    # over all feeds: names that renames lead to, whichever way they were renamed
+    edges = renames.select("field_before", "field_after").distinct()
     edges = cut_lineage(edges.unionByName(edges.select(F.col("field_after").alias("field_before"), F.col("field_before").alias("field_after"))).distinct())
-    known = step = spark.createDataFrame([(m, m) for m in sorted({m for m, _ in TARGET.values()})], "alias string, member string")
+    known = step = spark.createDataFrame([(m, m) for m in goals], "alias string, member string")
     while not step.isEmpty():
         reached = step.join(edges, F.col("alias") == F.col("field_before")).groupBy(F.col("field_after").alias("alias")).agg(F.min("member").alias("member"))
         step = cut_lineage(reached.join(known.select("alias"), "alias", "left_anti"))
         known = known.unionByName(step)
-    return known.filter("alias != member")
+    used = present.select("feed", F.col("member").alias("alias")).distinct().join(known.filter("alias != member"), "alias").join(own.select("feed", "alias"), ["feed", "alias"], "left_anti")
+    other = used.select("feed", "alias", "member", F.lit(None).cast("int").alias("first_file"), F.lit(None).cast("int").alias("last_file"), F.lit(False).alias("own"))
+    return own.select("feed", "alias", "member", "first_file", "last_file", F.lit(True).alias("own")).unionByName(other)
+
+
+def review(promoted: DataFrame) -> DataFrame:
+    """(alias, member, feeds, own_feeds): what an approver looks at: in how many feeds a name stands for a member, and in how many by their own renames."""
+    return promoted.groupBy("alias", "member").agg(F.countDistinct("feed").alias("feeds"), F.countDistinct(F.when(F.col("own"), F.col("feed"))).alias("own_feeds"))
 
 
 def _columns_of(member: str) -> list[str]:
     return [name for name, (m, _) in TARGET.items() if m == member]
 
 
+#: Approvals up to this number are sent to all executors; more are joined.
+BROADCAST_APPROVALS = 1_000_000
+
+
 def replay(ingested: DataFrame, approved: DataFrame) -> DataFrame:
     """The rescued values of approved aliases, cast into the typed columns of members that are still empty.
 
     A member takes the value of one alias: the first by name that can be cast. Only that alias leaves
     `_rescued`; values that can't be cast, further aliases, and aliases beside a filled member stay.
-    Only rescued members are exploded and joined with the approved names; AQE picks how.
+    The work is done within the row; it meets only the approvals of its feed.
     """
-    key = ["feed", "file_no", "row_no"]
-    rescued = ingested.filter(F.size("_rescued") > 0).select(*key, F.explode("_rescued").alias("alias", "json"))
-    value = F.try_parse_json("json")
-    named = rescued.join(approved, "alias").select(*key, "alias", "member", *(F.when(F.col("member") == member, cast_member(value, kind)).alias(name) for name, (member, kind) in TARGET.items()))
-    fitting = named.filter(F.coalesce(*(F.when(F.col(name).isNotNull(), True) for name in TARGET)))
+    approvals = approved.filter("alias is not null and member is not null").groupBy("feed").agg(F.sort_array(F.collect_set(F.struct("alias", "member", "first_file", "last_file"))).alias("_approved"))
+    if approved.count() <= BROADCAST_APPROVALS:
+        approvals = F.broadcast(approvals)
+    joined = ingested.join(approvals, "feed", "left")
     members = list(dict.fromkeys(member for member, _ in TARGET.values()))
-    first = fitting.groupBy(*key).agg(*(F.min_by(F.struct("alias", *_columns_of(m)), F.when(F.col("member") == m, F.col("alias"))).alias(f"_{m}") for m in members))
-
     empty = {m: reduce(and_, (F.col(name).isNull() for name in _columns_of(m))) for m in members}
-    typed = {name: F.when(empty[m], F.col(f"_{m}")[name]).otherwise(F.col(name)) for name, (m, _) in TARGET.items()}
-    stored = F.array(*(F.when(empty[m], F.col(f"_{m}")["alias"]) for m in members))
+
+    def candidates(member: str) -> Column:
+        fits = lambda a: (a["member"] == member) & F.array_contains(F.map_keys("_rescued"), a["alias"]) & (F.coalesce(a["first_file"], F.col("file_no")) <= F.col("file_no")) & (F.coalesce(a["last_file"], F.col("file_no")) >= F.col("file_no"))
+        value = lambda a: F.try_parse_json(F.col("_rescued")[a["alias"]])
+        cast = F.transform(F.filter("_approved", fits), lambda a: F.struct(a["alias"].alias("alias"), *(cast_member(value(a), TARGET[name][1]).alias(name) for name in _columns_of(member))))
+        good = F.filter(cast, lambda c: F.coalesce(*(F.when(c[name].isNotNull(), True) for name in _columns_of(member)), F.lit(False)))
+        return F.when(empty[member] & (F.size("_rescued") > 0) & F.col("_approved").isNotNull(), F.get(good, F.lit(0)))
+
+    picked = joined.select("*", *(candidates(m).alias(f"_{m}") for m in members))
+    stored = F.array(*(F.col(f"_{m}")["alias"] for m in members))
     # before the typed columns: in one select, the lambda would see their new values
-    out = ingested.join(first, key, "left").withColumn("_rescued", F.map_filter("_rescued", lambda k, _: ~F.coalesce(F.array_contains(stored, k), F.lit(False))))
+    out = picked.withColumn("_rescued", F.map_filter("_rescued", lambda k, _: ~F.coalesce(F.array_contains(stored, k), F.lit(False))))
+    typed = {name: F.coalesce(F.col(name), F.col(f"_{m}")[name]) for name, (m, _) in TARGET.items()}
     return out.select(*(typed.get(c, F.col(c)).alias(c) for c in ingested.columns))
 
 
-def steady_table(records: DataFrame) -> DataFrame:
-    """All records of all files in the target layout, renamed members included; `_rescued` as JSON text (null if empty)."""
-    out = replay(ingest(records), promotions(layout_changes(records)))
+def steady_table(records: DataFrame, approved: DataFrame | None = None) -> DataFrame:
+    """All records of all files in the target layout, renamed members included; `_rescued` as JSON text (null if empty).
+
+    Without `approved`, a table as `promotions` gives it, every promotion counts as approved.
+    """
+    if approved is None:
+        profile = layout_profile(records)
+        approved = cut_lineage(promotions(layout_changes(records, profile), profile[0]))
+    out = replay(ingest(records), approved)
     return out.withColumn("_rescued", F.when(F.size("_rescued") > 0, F.to_json("_rescued")))

@@ -12,6 +12,7 @@ from lindero.functions.units import quantity, segment, unit_in_note
 from lindero.operators import drift, nested, quantities
 
 NOW = datetime.datetime(2025, 1, 1)
+APPROVED = "feed string, alias string, member string, first_file int, last_file int"
 
 
 @pytest.mark.parametrize(
@@ -91,7 +92,8 @@ def test_replay_keeps_what_it_does_not_store(spark):
         {"confianza": "alta"}, {"conf": 0.25, "confianza": 0.75}, {"conf": "baja", "confianza": 0.75}, {"confidence": 0.5, "conf": 0.25}, {"confidence": "media", "conf": 0.25},
         {"val": "1,50 €", "valor": "2,50 €"}, {"value": "ver anexo", "val": "1,50 €"}, {"valor": {"importe": 3.5}},
     ]
-    approved = spark.createDataFrame([("confianza", "confidence"), ("conf", "confidence"), ("val", "value"), ("valor", "value")], "alias string, member string")
+    names = [("confianza", "confidence"), ("conf", "confidence"), ("val", "value"), ("valor", "value")]
+    approved = spark.createDataFrame([("f", *n, None, None) for n in names] + [("g", "zzz", "value", None, None), (None, None, None, None, None)], APPROVED)
     rows = drift.replay(drift.ingest(feed(spark, {1: payloads})), approved).orderBy("row_no").collect()
     assert [(r.confidence, r.value, r.amount and float(r.amount), dict(r._rescued)) for r in rows] == [
         (None, None, None, {"confianza": '"alta"'}), (0.25, None, None, {"confianza": "0.75"}), (0.75, None, None, {"conf": '"baja"'}), (0.5, None, None, {"conf": "0.25"}), (0.25, None, None, {"confidence": '"media"'}),
@@ -100,13 +102,49 @@ def test_replay_keeps_what_it_does_not_store(spark):
 
 
 def test_promotions_follow_renames_to_the_end(spark):
-    names = ["value", "a1", "a2", "a3", "a4", "a5", "a6", "document"]
-    changes = spark.createDataFrame([("renamed", b, a) for b, a in [*zip(names, names[1:]), ("x", "y")]] + [("added", "", "a9")], "change_kind string, field_before string, field_after string")
-    assert {(r.alias, r.member) for r in drift.promotions(changes).collect()} == {("a1", "value"), ("a2", "value"), ("a3", "value"), ("a4", "document"), ("a5", "document"), ("a6", "document")}
-    long = [f"b{k}" for k in range(7)]
-    changes = spark.createDataFrame([("renamed", b, a) for b, a in zip(["method", *long], long)], "change_kind string, field_before string, field_after string")
-    assert {(r.alias, r.member) for r in drift.promotions(changes).collect()} == {(b, "method") for b in long}
-    assert drift.promotions(changes.limit(0)).count() == 0
+    names = ["value", "a1", "a2", "a3", "a4", "a5", "a6", "a7"]
+    changes = [("f", n, "renamed", b, a) for n, (b, a) in enumerate([*zip(names, names[1:]), ("x", "y")], 2)] + [("f", 20, "added", "", "a9"), ("f", 9, "removed", "a7", "")]
+    frame = spark.createDataFrame(changes, "feed string, file_no int, change_kind string, field_before string, field_after string")
+    present = spark.createDataFrame([("f", "a1"), ("g", "a3"), ("g", "a7"), ("g", "document"), ("h", "a9")], "feed string, member string")
+    found = {(r.feed, r.alias): (r.member, r.first_file, r.last_file, r.own) for r in drift.promotions(frame, present).collect()}
+    own = {("f", f"a{k}"): ("value", k + 1, k + 1 if k < 7 else 8, True) for k in range(1, 8)}
+    assert found == own | {("g", "a3"): ("value", None, None, False), ("g", "a7"): ("value", None, None, False)}
+    assert {tuple(r) for r in drift.review(drift.promotions(frame, present)).filter("alias = 'a3'").collect()} == {("a3", "value", 2, 1)}
+    assert drift.promotions(frame.limit(0), present).count() == 0
+
+
+def test_aliases_hold_for_their_feed_and_files(spark):
+    """A name that stands for a member in one feed, or in some files, stands for nothing elsewhere."""
+    approved = spark.createDataFrame([("f", "val", "value", 2, 3)], APPROVED)
+    records = feed(spark, {n: [{"val": "1,50 €"}] for n in (1, 2, 3, 4)}).unionByName(feed(spark, {2: [{"val": "1,50 €"}]}, "g"))
+    rows = drift.replay(drift.ingest(records), approved).collect()
+    assert {(r.feed, r.file_no) for r in rows if r.amount is not None} == {("f", 2), ("f", 3)}
+    assert {(r.feed, r.file_no) for r in rows if r._rescued} == {("f", 1), ("f", 4), ("g", 2)}
+
+
+def test_steady_table_loses_no_value(spark):
+    """Every value that is no null stands in a typed column or in `_rescued`; own aliases are used wherever they can be cast."""
+    records = spark.read.parquet("/root/testdata/sf0.001/feed_records.parquet")
+    payloads = {(r.feed, r.file_no, r.row_no): r.payload for r in drift.delivered(records.withColumn("x", records.row_no)).drop("_m").join(records, ["feed", "file_no", "row_no", "file_name", "delivered_at"]).select("feed", "file_no", "row_no", "payload").collect()}
+    rows = drift.steady_table(records).collect()
+    assert len(rows) == len(payloads)
+    stored = 0
+    for r in rows:
+        whole = {k: v for k, v in json.loads(payloads[r.feed, r.file_no, r.row_no]).items() if v is not None}
+        rescued = json.loads(r._rescued) if r._rescued else {}
+        assert rescued.keys() <= whole.keys()
+        typed = {m for name, (m, _) in drift.TARGET.items() if r[name] is not None}
+        assert len(typed) + len(rescued) == len(whole)
+        stored += len(typed)
+    assert stored > 0.7 * sum(len(json.loads(p)) for p in payloads.values())
+
+
+def test_leaves_of_any_depth():
+    text = '{"a": {"b": [1.50, {"c d": null}, []], "e": true}, "f": {}, "á": "x"}'
+    assert nested.leaves(text) == [("$.a.b[0]", "1.50"), ('$.a.b[1]["c d"]', None), ("$.a.b[2]", "[]"), ("$.a.e", "true"), ("$.f", "{}"), ("$.á", "x")]
+    deep = "[" * 500 + "7" + "]" * 500
+    assert nested.leaves(deep) == [("$" + "[0]" * 500, "7")]
+    assert nested.leaves("[broken") == [("$", "[broken")]
 
 
 def test_nested_records(spark):
@@ -124,5 +162,7 @@ def test_nested_records(spark):
     assert found == sorted((k, *e) for k in (1, 2, 8) for e in expected)
     table = nested.canonical(records)
     assert nested.flatten(table, "lots").filter("record_id = 1").count() == 3
-    assert {(r.path, r.leaf) for r in nested.value_leaves(table).filter("record_id = 1").collect()} == {("$", "1"), ("$.k", "[1]"), ("$", "v")}
+    assert {(r.path, r.leaf) for r in nested.value_leaves(table).filter("record_id = 1").collect()} == {("$", "1"), ("$.k[0]", "1"), ("$", "v")}
+    every = nested.tables(records)
+    assert set(every) == {"lots", "fields", "results", "spans", "values"} and every["spans"].filter("start is not null").count() == 15
     assert nested.spans(records.limit(0)).count() == 0
