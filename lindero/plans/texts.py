@@ -70,7 +70,12 @@ def number_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents(spark, sf_dir).select("doc_id", X.repaired_numbers(t).alias("text"), (X.repaired_numbers(t) == X.repaired_numbers(t, 5)).alias("stable"))
 
 
-@query(f"""select doc_id, {norm("replace(translate(text, '‘’′“”«»–—', '''''''\"\"\"\"--'), '…', '...')")} as text from documents""")
+def search(c: str) -> str:
+    to = X.SEARCH_TO.replace("'", "''")
+    return f"translate({norm(c)}, '{X.SEARCH_FROM}', '{to}')"
+
+
+@query(f"select doc_id, {search('text')} as text from documents")
 def search_form(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents(spark, sf_dir).select("doc_id", X.searchable(F.col("text")).alias("text"))
 

@@ -20,7 +20,12 @@ def squeeze(c: str) -> str:
 
 
 def norm(c: str) -> str:
-    return squeeze(f"translate(lower({c}), '{X.ACCENTED}', '{X.UNACCENTED}')")
+    """Accents by DuckDB's own table, the other compatibility forms by Unicode's."""
+    several = c
+    for sign, plain in X.FOLD_MANY.items():
+        several = f"replace({several}, '{sign}', '{plain}')"
+    compat = [t.replace("'", "''") for t in (X.COMPAT_FROM, X.COMPAT_TO)]
+    return f"lower({squeeze(f"translate(strip_accents({several}), '{compat[0]}', '{compat[1]}')")})"
 
 
 def has(c: str) -> str:
@@ -143,10 +148,10 @@ def matched(value: str, gold: str) -> str:
     money = lambda c: _list(f"concat(' ', {c}, ' ')", _MONEY, "try_cast(replace(replace(x, '.', ''), ',', '.') as double)")
     dur_norm = norm("regexp_replace(x, '^\\d+\\s*', '')")
     term = lambda c: _list(c, _TERM, f"concat(cast(try_cast(regexp_extract(x, '^(\\d+)', 1) as integer) as varchar), ' ', substring({dur_norm}, 1, 3))", ", 'i'")
-    padded = lambda c: f"concat(' ', regexp_replace({norm(c)}, '[^\\p{{L}}\\p{{N}}_]', ' ', 'g'), ' ')"
+    whole = f"concat('(?:^|[^\\p{{L}}\\p{{N}}_])', regexp_escape({norm(gold)}), '(?:$|[^\\p{{L}}\\p{{N}}_])')"
     v = f"coalesce({value}, '')"
     return f"""case when len({rate(gold)}) > 0 then list_has_any({rate(gold)}, {rate(value)}) when len({money(gold)}) > 0 then list_has_any({money(gold)}, {money(value)})
-      when len({term(gold)}) > 0 then list_has_any({term(gold)}, {term(value)}) else contains({padded(v)}, {padded(gold)}) end"""
+      when len({term(gold)}) > 0 then list_has_any({term(gold)}, {term(value)}) else regexp_matches({norm(v)}, {whole}) end"""
 
 
 RUNS = f"""
@@ -346,8 +351,7 @@ def budget_ratio_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CELL = squeeze("value")
-STRICT_CELL = rf"""coalesce(case when {_CELL} = '' then true when regexp_matches({_CELL}, '(?i)^(?:no\s+especific(?:ado|at)|not\s+specified|no\s+procede|n/a|n\.a\.|, |-)$') then true when regexp_matches({_CELL}, '^\d{{1,3}}(?:[.,]\d+)?$') then false
-  else regexp_matches({_CELL}, '(?i)(?:€|\beuros?\b|\bMEUR\b|%|por\s+ciento|por\s+siniestro|por\s+a[ñn]o|del\s+\d|\b(?:MESES?|D[IÍ]AS?)\b)') end, true)"""
+STRICT_CELL = f"coalesce({_CELL} = '' or regexp_matches({_CELL}, '(?i){X.SENTINELS}') or (not regexp_matches({_CELL}, '^\\d{{1,3}}(?:[.,]\\d+)?$') and regexp_matches({_CELL}, '(?i)(?:{X.MEASURED})')), true)"
 
 
 @query(f"select result_id, case when {STRICT_CELL} then value else 'No especificado' end as cell, coalesce(regexp_matches({_CELL}, '^\\d+(?:[.,]\\d+)?$'), false) as bare from ({LATEST})")

@@ -30,11 +30,31 @@ def test_local_amounts(spark):
 
 
 def test_boundary_match(spark):
-    rows = [("21 %", "1 %", False), ("5% del precio", "5 %", True), ("1.234.567,00 €", "234.567,00 €", False), ("24 MESES", "24 meses", True), ("4 meses", "24 meses", False), ("Abierto simplificado", "abierto", True), ("Abiertos", "abierto", False), (None, "abierto", False)]
+    rows = [("21 %", "1 %", False), ("5% del precio", "5 %", True), ("1.234.567,00 €", "234.567,00 €", False), ("24 MESES", "24 meses", True), ("4 meses", "24 meses", False), ("Abierto simplificado", "abierto", True), ("Abiertos", "abierto", False), (None, "abierto", False), ("12-2024", "12/2024", False), ("exp. 12/2024.", "12/2024", True), ("a.b", "a-b", False), ("Clase (B)", "(b)", True)]
     frame = spark.createDataFrame(rows, "v string, g string, e boolean")
     assert [(r.m, r.e) for r in frame.select(X.boundary_match(F.col("v"), F.col("g")).alias("m"), "e").collect()] == [(e, e) for *_, e in rows]
 
 
+def test_grounding_form_is_nfkd(spark):
+    """As Unicode's own compatibility decomposition without marks, for all letters of the Latin, Greek and Cyrillic blocks and compatibility forms."""
+    import unicodedata
+
+    chars = [chr(p) for p in (*range(0x21, 0x600), *range(0x1E00, 0x2200), *range(0xFB00, 0xFB05), *range(0xFF01, 0xFF5F)) if unicodedata.category(chr(p))[0] in "LN" and len(X._folded(p)) == 1]
+    rows = [f"x{c}y" for c in chars] + ["ﬁn ﬂor", "ő š č", "e\u0301 n\u0303", "５.０００,００", "½", "a\u00a0\u3000b"]
+    wanted = [" ".join("".join(c for c in unicodedata.normalize("NFKD", r) if unicodedata.category(c)[0] != "M").split()).lower() for r in rows]
+    assert [(r, a) for r, a, b in zip(rows, column(spark, rows, X.normalised), wanted, strict=True) if a != b] == []
+
+
+def test_strict_amounts(spark):
+    good = ["2 AÑOS", "3 del precio", "5 del importe", "de presupuesto", "10 %", "12 € ", "n/a", "", None, "1 día", "por siniestro", "3 MEUR"]
+    bad = ["21", "42,5", "sin importe", "delprecio", "meseta", "1.234,00"]
+    assert column(spark, good, X.strict_amount) == [True] * len(good) and column(spark, bad, X.strict_amount) == [False] * len(bad)
+
+
+def test_spots(spark):
+    assert column(spark, ["a12b3c", "", None, "77", "x"], lambda c: X.spots(c, r"\d+")) == [[(1, 3, "12"), (4, 5, "3")], [], None, [(0, 2, "77")], []]
+
+
 def test_chunks_keep_the_text(spark):
     text = "\nCláusula 1 uno" + " a" * 40 + "\nCláusula 2 dos" + " b" * 40 + "\nCláusula 3 tres" + " c" * 100
     (chunks,) = column(spark, [text], lambda c: P.chunked(c, 120))
