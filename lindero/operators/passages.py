@@ -9,24 +9,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lindero.functions.text import BLANKS, squeezed
+from lindero.functions.text import BLANKS, normalised, spots, squeezed
 
 # Lines that are boilerplate as a whole, and shapes of repeated lines that may be dropped.
 BOILERPLATE_LINES = (
     r"^Firmado por:", r"^Cargo:", r"^Fecha:\s*\d{1,2}[-/]\d{1,2}[-/]\d{2,4}", r"^Jefe de servicio", r"^Este documento es Copia Aut[ée]ntica", r"^Su autenticidad puede ser comprobada",
-    r"^Para la verificaci[oó]n del siguiente c[oó]digo", r"^https?://\S*licitacion\S*", r"^C[oó]digo de verificaci[oó]n\s*:", r"^P[aá]gina:?\s*\d+\s*de\s*\d+",
+    r"^Para la verificaci[oó]n del siguiente c[oó]digo", r"^https?://\S*licitacion\S*", r"^C[oó]digo de verificaci[oó]n\s*:", r"^P[aá]gina:\s*\d+\s*de\s*\d+",
 )
 HEADING_WORDS = r"(?:cl[áa]usula|anexo|apartado|art[íi]culo|cap[íi]tulo|secci[óo]n)"
 BUSINESS_WORDS = r"(?:presupuesto|garant[íi]a|seguro|solvencia|criterios|plazo|contratista|adjudicatario|iva|valor estimado)"
 SAFE_SHAPES = r"(?:^p[áa]gina\s+\d+|^expediente\s*[:/]|^c[óo]digo seguro de verificaci[óo]n|^csv\s*[:/]|^firmado electr[óo]nicamente|contrataci[oó]n del sector p[uú]blico|sede electr[oó]nica)"
-HEADING = r"^\s*(?:Cláusula|Artículo|Apartado|CLÁUSULA|ARTÍCULO|SECCIÓN|CAPÍTULO|ANEXO)\s+(?:[0-9]+(?:\.[0-9]+)*|[IVXLCMD]+)"
+SECTION_WORDS = "Cláusula|Artículo|Apartado|CLÁUSULA|ARTÍCULO|SECCIÓN|CAPÍTULO|ANEXO"
+HEADING = rf"(?:^|\n)[\s\x{{00A0}}]*(?:{SECTION_WORDS})\s+(?:[0-9]+(?:\.[0-9]+)*|[IVXLCMD]+)"
+
+
+def unfolded(rows: DataFrame, array: str | Column, probe: str, *keep: str) -> DataFrame:
+    """The structs of an array as rows beside the columns `keep`; `probe` is a member that is never null.
+
+    An inner generator would make Spark infer a filter on the array and push the whole of what it is
+    made from below every step; the outer one with a filter on what it gives doesn't.
+    """
+    return rows.select(*(keep or ("doc_id",)), F.inline_outer(array)).filter(F.col(probe).isNotNull())
 
 
 def lines(documents: DataFrame) -> DataFrame:
-    """(doc_id, file, line_no, start_pos, line): the lines of each text and where they start."""
-    rows = documents.select("doc_id", "file", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    before = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("start_pos", F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0)))
+    """(doc_id, file, line): the lines of each text."""
+    return documents.select("doc_id", "file", F.explode(F.split("text", "\n")).alias("line"))
 
 
 def without_boilerplate(text: Column) -> Column:
@@ -61,31 +69,72 @@ def without_repeated(documents: DataFrame, repeated: DataFrame) -> DataFrame:
     return joined.select("doc_id", F.when(F.col("drop").isNull(), F.col("text")).otherwise(trimmed).alias("text"))
 
 
+def with_sections(documents: DataFrame, text: str = "text", to: str = "sections") -> DataFrame:
+    """`documents` with an ARRAY of (section_no, heading, key, start_pos, end_pos): from each heading that begins a line to the next one."""
+    heads = F.transform(spots(F.col(text), HEADING), lambda m: F.struct(squeezed_ends(m["text"]).alias("heading"), (m["end"] - F.length(squeezed_ends(m["text"]))).alias("start")))
+    rows = documents.withColumn("_heads", heads)
+    found = F.transform(
+        F.col("_heads"),
+        lambda h, k: F.struct((k + 1).cast("int").alias("section_no"), h["heading"].alias("heading"), normalised(h["heading"]).alias("key"), h["start"].alias("start_pos"), F.coalesce(F.get(F.col("_heads"), k + 1)["start"], F.length(text)).alias("end_pos")),
+    )
+    return rows.select(*documents.columns, found.alias(to))
+
+
 def sections(documents: DataFrame) -> DataFrame:
-    """(doc_id, section_no, heading, key, start_pos, end_pos): spans from each heading line to the next heading."""
-    heads = lines(documents).filter(F.col("line").rlike(HEADING))
-    order = Window.partitionBy("doc_id").orderBy("start_pos")
-    total = documents.select("doc_id", F.length("text").alias("size"))
-    heading = squeezed(F.regexp_extract("line", f"({HEADING})", 1))
-    spans = heads.withColumn("section_no", F.row_number().over(order)).withColumn("next_pos", F.lead("start_pos").over(order)).join(total, "doc_id")
-    key = F.regexp_replace(F.lower(F.translate(heading, "áéíóúÁÉÍÓÚ", "aeiouAEIOU")), r"[^a-z0-9.]", "")
-    return spans.select("doc_id", "section_no", heading.alias("heading"), key.alias("key"), "start_pos", F.coalesce("next_pos", "size").alias("end_pos"))
+    """(doc_id, section_no, heading, key, start_pos, end_pos): worked out within the row, no text is shuffled."""
+    return unfolded(with_sections(documents.select("doc_id", "text")), "sections", "section_no")
+
+
+def with_collapsed(documents: DataFrame, text: str = "text", to: str = "collapsed") -> DataFrame:
+    """`documents` with an ARRAY of (key, text): the sections of a text, those of one key joined in order by an empty line."""
+    rows = with_sections(documents, text, "_sections")
+    body = lambda s: squeezed_ends(F.substring(F.col(text), s["start_pos"] + 1, s["end_pos"] - s["start_pos"]))
+    rows = rows.withColumn("_parts", F.transform("_sections", lambda s: F.struct(s["key"].alias("key"), body(s).alias("text"))))
+    rows = rows.withColumn("_keys", F.array_distinct(F.transform("_parts", lambda p: p["key"])))
+    joined = F.transform("_keys", lambda k: F.struct(k.alias("key"), F.array_join(F.transform(F.filter(F.col("_parts"), lambda p: p["key"] == k), lambda p: p["text"]), "\n\n").alias("text")))
+    return rows.select(*documents.columns, joined.alias(to))
+
+
+def zipped(a: Column, b: Column, prefix: Column) -> Column:
+    """ARRAY of (key, text_a, text_b): two lists side by side, '' where one is shorter; blank pairs are left out, several are numbered."""
+    most = F.greatest(F.size(a), F.size(b))
+    side = lambda parts, k: F.coalesce(F.get(parts, k - 1), F.lit(""))
+    rows = F.transform(
+        F.when(most > 0, F.sequence(F.lit(1), most)).otherwise(F.array().cast("array<int>")),
+        lambda k: F.struct(F.when(most > 1, F.concat(prefix, F.lit(" ("), k.cast("string"), F.lit("/"), most.cast("string"), F.lit(")"))).otherwise(prefix).alias("key"), side(a, k).alias("text_a"), side(b, k).alias("text_b")),
+    )
+    return F.filter(rows, lambda r: (squeezed_ends(r["text_a"]) != "") | (squeezed_ends(r["text_b"]) != ""))
+
+
+def with_comparison(pairs: DataFrame, a: str = "text_a", b: str = "text_b", most: int = 32_000) -> DataFrame:
+    """`pairs` with `chunks`, an ARRAY of (key, text_a, text_b): the sections of two texts matched by key; a pair over `most` is cut into chunks side by side, texts without sections as a whole."""
+    size = max(most // 2, 4000)
+    rows = with_collapsed(with_collapsed(pairs, a, "_one"), b, "_two")
+    keys = F.array_union(F.transform("_one", lambda s: s["key"]), F.transform("_two", lambda s: s["key"]))
+    of = lambda side, k: F.coalesce(F.get(F.filter(F.col(side), lambda s: s["key"] == k), F.lit(0))["text"], F.lit(""))
+    rows = rows.withColumn("_keys", keys)
+    rows = rows.withColumn("_pairs", F.transform("_keys", lambda k: F.struct(k.alias("key"), of("_one", k).alias("a"), of("_two", k).alias("b"))))
+    parts = lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(chunked(t, size))
+    whole = lambda p: F.filter(F.array(F.struct(p["key"].alias("key"), p["a"].alias("text_a"), p["b"].alias("text_b"))), lambda r: (r["text_a"] != "") | (r["text_b"] != ""))
+    rows = rows.withColumn("_cut", F.transform(F.filter("_pairs", lambda p: F.length(p["a"]) + F.length(p["b"]) > most), lambda p: F.struct(p["key"].alias("key"), parts(p["a"]).alias("a"), parts(p["b"]).alias("b"))))
+    wide = F.flatten(F.transform(F.filter("_pairs", lambda p: F.length(p["a"]) + F.length(p["b"]) <= most), whole))
+    by_key = F.concat(wide, F.flatten(F.transform("_cut", lambda c: zipped(c["a"], c["b"], c["key"]))))
+    rows = rows.withColumn("_keyed", (F.size("_one") > 0) & (F.size("_two") > 0))
+    rows = rows.withColumn("_a", F.when(~F.col("_keyed"), chunked(F.col(a), most))).withColumn("_b", F.when(~F.col("_keyed"), chunked(F.col(b), most)))
+    return rows.select(*pairs.columns, F.when(F.col("_keyed"), by_key).otherwise(zipped(F.col("_a"), F.col("_b"), F.lit("Fragmento"))).alias("chunks"))
 
 
 def cue_hits(documents: DataFrame, cues: dict[str, str], most: int | None = None) -> DataFrame:
-    """(doc_id, cue, hit_no, start_pos, end_pos): where literal cues (lower case) stand in each text, without overlaps; `most` keeps the first ones."""
+    """(doc_id, cue, hit_no, start_pos, end_pos): where literal cues stand in each text, case ignored, without overlaps; all cues from one scan; `most` keeps the first ones."""
     parts = []
     for name, cue in cues.items():
-        pieces = F.split(F.lower("text"), "\\Q" + cue + "\\E")
-        rows = documents.select("doc_id", F.posexplode(pieces).alias("k", "piece"), F.size(pieces).alias("n"))
-        upto = Window.partitionBy("doc_id").orderBy("k")
-        start = F.sum(F.length("piece")).over(upto) + F.col("k") * len(cue)
-        hits = rows.filter("n > 1").withColumn("start_pos", start).filter("k < n - 1")
-        parts.append(hits.select("doc_id", F.lit(name).alias("cue"), (F.col("k") + 1).alias("hit_no"), "start_pos", (F.col("start_pos") + len(cue)).alias("end_pos")))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.filter(F.col("hit_no") <= most) if most else out
+        found = spots(F.col("text"), "(?iu)\\Q" + cue + "\\E")
+        parts.append(_named(F.slice(found, 1, most) if most else found, name))
+    return unfolded(documents, F.concat(*parts) if len(parts) > 1 else parts[0], "cue")
+
+
+def _named(found: Column, name: str) -> Column:
+    return F.transform(found, lambda m, k: F.struct(F.lit(name).alias("cue"), (k + 1).alias("hit_no"), m["start"].alias("start_pos"), m["end"].alias("end_pos")))
 
 
 def merged_spans(spans: DataFrame, key: str) -> DataFrame:

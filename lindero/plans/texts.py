@@ -9,6 +9,7 @@ from lindero.functions import text as X
 from lindero.operators import passages as P
 from lindero.operators.evidence import gold_labels, sources
 from lindero.plans.registry import query
+from lindero.plans.segments import quoted, spots_sql
 from lindero.plans.values import GOLD, LATEST, SOURCES, has, norm, squeeze, values
 from lindero.session import table
 
@@ -141,35 +142,37 @@ def language_cue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- sections --------------------------------------------------------------------------------
 
-_LINES = "select doc_id, file, k, l, coalesce(sum(length(l) + 1) over (partition by doc_id order by k rows between unbounded preceding and 1 preceding), 0)::bigint as start_pos from (select doc_id, file, generate_subscripts(string_split(text, chr(10)), 1) as k, unnest(string_split(text, chr(10))) as l from documents)"
-_HEADING = squeeze(f"regexp_extract(l, '({P.HEADING})', 1)")
-_HEADS = f"select doc_id, start_pos, {_HEADING} as heading from ({_LINES}) where regexp_matches(l, '{P.HEADING}')"
-_SECTIONS = f"""select doc_id, row_number() over (partition by doc_id order by start_pos) as section_no, heading, regexp_replace(lower(translate(heading, 'áéíóúÁÉÍÓÚ', 'aeiouAEIOU')), '[^a-z0-9.]', '', 'g') as key, start_pos,
-  coalesce(lead(start_pos) over (partition by doc_id order by start_pos), length(text)) as end_pos from ({_HEADS}) join (select doc_id, text from documents) using (doc_id)"""
+_HEAD = P.HEADING.replace(r"(?:^|\n)", r"\n").replace(r"[\s\x{00A0}]*", r"\s*")
+_HEADS = f"select doc_id, text, k, trim(m, concat(' ', chr(9), chr(10), chr(13))) as heading, stop_pos - length(trim(m, concat(' ', chr(9), chr(10), chr(13)))) as start_pos from ({spots_sql('select doc_id, text from documents', quoted(_HEAD), front=chr(10))})"
+_SECTIONS = f"select doc_id, text, k::integer as section_no, heading, {norm('heading')} as key, start_pos, coalesce(lead(start_pos) over (partition by doc_id order by k), length(text)) as end_pos from ({_HEADS})"
+_STRIPPED = "regexp_replace({c}, '^[\\s\\x{{00A0}}\\x{{FEFF}}]+|[\\s\\x{{00A0}}\\x{{FEFF}}]+$', '', 'g')"
+_BODIES = f"select doc_id, key, string_agg({_STRIPPED.format(c='substring(text, start_pos + 1, end_pos - start_pos)')}, concat(chr(10), chr(10)) order by section_no) as text from ({_SECTIONS}) group by all"
 
 
-@query(_SECTIONS)
+@query(f"select doc_id, section_no, heading, key, start_pos, end_pos from ({_SECTIONS})")
 def document_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sections of each document, from heading to heading."""
     return P.sections(_documents(spark, sf_dir))
 
 
-@query(f"select doc_id, key, count(*) as n, sum(end_pos - start_pos)::bigint as chars, string_agg(heading, ' + ' order by section_no) as headings from ({_SECTIONS}) group by all")
+@query(_BODIES)
 def section_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sections of one key joined in order."""
-    rows = P.sections(_documents(spark, sf_dir)).groupBy("doc_id", "key")
-    headings = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("section_no", "heading"))), lambda s: s["heading"]), " + ")
-    return rows.agg(F.count("*").alias("n"), F.sum(F.col("end_pos") - F.col("start_pos")).alias("chars"), headings.alias("headings"))
+    """The texts of sections of one key joined in order."""
+    return P.unfolded(P.with_collapsed(_documents(spark, sf_dir).select("doc_id", "text")), "collapsed", "key")
 
 
-_KEYED = f"select doc_id, key, sum(end_pos - start_pos)::bigint as chars from ({_SECTIONS}) group by all"
+_COMPARED = f"""with s as ({_BODIES}), pairs as (select a.doc_id, a.text as ta, b.text as tb, exists (select 1 from s where s.doc_id = a.doc_id) and exists (select 1 from s where s.doc_id = b.doc_id) as keyed from documents a join documents b on b.doc_id = a.doc_id + 1 where a.text is not null and b.text is not null),
+  k as (select coalesce(x.doc_id, y.doc_id - 1) as doc_id, coalesce(x.key, y.key) as key, coalesce(x.text, '') as text_a, coalesce(y.text, '') as text_b from s x full join s y on y.doc_id = x.doc_id + 1 and y.key = x.key)
+  select k.doc_id, key, text_a, text_b from k join pairs p on p.doc_id = k.doc_id and keyed where text_a <> '' or text_b <> '' union all select doc_id, 'Fragmento', ta, tb from pairs where not keyed and (trim(ta) <> '' or trim(tb) <> '')"""
 
 
-@query(f"select coalesce(a.doc_id, b.doc_id) as doc_id, coalesce(a.key, b.key) as key, coalesce(a.chars, 0) as chars_a, coalesce(b.chars, 0) as chars_b from ({_KEYED}) a full join (select doc_id - 1 as doc_id, key, chars from ({_KEYED})) b on a.doc_id = b.doc_id and a.key = b.key")
+@query(f"select doc_id, key, length(text_a) as chars_a, md5(text_a) as digest_a, length(text_b) as chars_b, md5(text_b) as digest_b from ({_COMPARED})")
 def compare_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sections of each document against those of the next: a full outer match of keys."""
-    keyed = P.sections(_documents(spark, sf_dir)).groupBy("doc_id", "key").agg(F.sum(F.col("end_pos") - F.col("start_pos")).alias("chars_a"))
-    following = keyed.select((F.col("doc_id") - 1).alias("doc_id"), "key", F.col("chars_a").alias("chars_b"))
-    return keyed.join(following, ["doc_id", "key"], "full").select("doc_id", "key", F.coalesce("chars_a", F.lit(0)).alias("chars_a"), F.coalesce("chars_b", F.lit(0)).alias("chars_b"))
+    """Each document against the next: sections matched by key on both sides, whole texts where one side has none."""
+    documents = _documents(spark, sf_dir).select("doc_id", "text").filter("text is not null")
+    pairs = documents.withColumnRenamed("text", "text_a").join(documents.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("text_b")), "doc_id")
+    rows = P.unfolded(P.with_comparison(pairs), "chunks", "key")
+    return rows.select("doc_id", "key", F.length("text_a").alias("chars_a"), F.md5("text_a").alias("digest_a"), F.length("text_b").alias("chars_b"), F.md5("text_b").alias("digest_b"))
 
 
 @query("select section_id, k::integer as piece_no, substring(text, (k * 800 + 1)::bigint, 800) as piece from (select section_id, text, unnest(range(0, greatest(1, ceil(length(text) / 800.0))::bigint)) as k from document_sections)")
@@ -179,64 +182,46 @@ def hard_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "document_sections").filter("text is not null").select("section_id", F.posexplode(cut).alias("piece_no", "piece"))
 
 
-@query()
+def _chunks_sql(rows: str, most: int) -> str:
+    """(doc_id, chunk_no, chunk) by a recursive fold over clauses, else paragraphs; a text that fits, and hard slices, beside it."""
+    strip = lambda c: _STRIPPED.format(c=c)
+    return f"""with recursive r as ({rows}), c as (select doc_id, text, list_filter(string_split(regexp_replace(text, '\\n((?:{P.SECTION_WORDS})\\s)', concat(chr(1), chr(10), '\\1'), 'g'), chr(1)), lambda x: {strip('x')} <> '') as clauses, list_filter(string_split_regex(text, '\\n\\s*\\n'), lambda x: {strip('x')} <> '') as paras from r where length(text) > {most}),
+      p as (select doc_id, case when len(clauses) > 1 then clauses else paras end as parts from c where len(clauses) > 1 or len(paras) > 1),
+      f(doc_id, k, open_, done) as (select doc_id, 0::bigint, '', []::varchar[] from p union all
+        select f.doc_id, f.k + 1, case when length(open_) + length(parts[f.k + 1]) > {most} and open_ <> '' then parts[f.k + 1] else concat(open_, case when open_ <> '' then concat(chr(10), chr(10)) else '' end, parts[f.k + 1]) end, case when length(open_) + length(parts[f.k + 1]) > {most} and open_ <> '' then list_append(done, {strip('open_')}) else done end from f join p on p.doc_id = f.doc_id where f.k < len(parts)),
+      z as (select f.doc_id, case when {strip('open_')} <> '' then list_append(done, {strip('open_')}) else done end as chunks from f join p on p.doc_id = f.doc_id where f.k = len(parts))
+      select doc_id, unnest(range(len(chunks)))::integer as chunk_no, unnest(chunks) as chunk from z union all select doc_id, 0, text from r where length(text) <= {most}
+      union all select doc_id, k::integer, substring(text, (k * {most} + 1)::bigint, {most}) from (select doc_id, text, unnest(range(0, ceil(length(text) / {most}.0)::bigint)) as k from c where len(clauses) <= 1 and len(paras) <= 1)"""
+
+
+@query(f"select doc_id as section_id, chunk_no, chunk from ({_chunks_sql('select section_id as doc_id, text from document_sections where text is not null', 2000)})")
 def greedy_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections in chunks packed from clauses, else paragraphs, else cut hard."""
     return table(spark, sf_dir, "document_sections").select("section_id", F.posexplode(P.chunked(F.col("text"), 2000)).alias("chunk_no", "chunk"))
 
 
-@query("select mode, sum(case when length(text) <= size then 1 else ceil(length(text) / size) end)::bigint as chunks from document_sections cross join (values ('analysis', 8000.0), ('short', 2000.0)) m(mode, size) where text is not null group by mode")
+_ESTIMATE = lambda mode, most: f"select '{mode}' as mode, count(*) as chunks from ({_chunks_sql(f'select doc_id, text from documents where {_STRIPPED.format(c="text")} <> {chr(39)}{chr(39)}', most)})"
+
+
+@query(f"select * from ({_ESTIMATE('analysis', 8000)}) union all select * from ({_ESTIMATE('record', 32000)}) union all select 'comparison', count(*) from ({_COMPARED}) where trim(text_a) <> '' or trim(text_b) <> ''")
 def chunk_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "document_sections").filter("text is not null").select(F.length("text").alias("n"), F.explode(F.array(*(F.struct(F.lit(m).alias("mode"), F.lit(s).alias("size")) for m, s in (("analysis", 8000), ("short", 2000))))).alias("m"))
-    return rows.groupBy(F.col("m.mode").alias("mode")).agg(F.sum(F.when(F.col("n") <= F.col("m.size"), 1).otherwise(F.ceil(F.col("n") / F.col("m.size")))).alias("chunks"))
+    """How many chunks the documents make in each mode; blank texts make none."""
+    rows = _documents(spark, sf_dir).select("doc_id", "text").filter(F.coalesce(P.squeezed_ends(F.col("text")) != "", F.lit(False)))
+    sizes = rows.select(F.inline(F.array(*(F.struct(F.lit(m).alias("mode"), F.size(P.chunked(F.col("text"), s)).cast("long").alias("n")) for m, s in (("analysis", 8000), ("record", 32_000))))))
+    compared = compare_full_outer(spark, sf_dir).select(F.lit("comparison").alias("mode"), F.lit(1).cast("long").alias("n"))
+    return sizes.unionByName(compared).groupBy("mode").agg(F.sum("n").alias("chunks"))
 
 
 # --- passages --------------------------------------------------------------------------------
 
 CUES = {"presupuesto": "presupuesto base", "plazo": "plazo de ejecución", "garantia": "garantía definitiva", "iva": "iva aplicable"}
-
-
-def _hits_sql(most: int | None) -> str:
-    parts = []
-    for name, cue in CUES.items():
-        parts.append(
-            f"""select doc_id, '{name}' as cue, k as hit_no, (sum(length(p)) over (partition by doc_id order by k) + (k - 1) * {len(cue)})::bigint as start_pos, n from (select doc_id, len(string_split(lower(text), '{cue}')) as n, generate_subscripts(string_split(lower(text), '{cue}'), 1) as k, unnest(string_split(lower(text), '{cue}')) as p from documents)"""
-        )
-    lengths = "case cue " + " ".join(f"when '{name}' then {len(cue)}" for name, cue in CUES.items()) + " end"
-    return f"select doc_id, cue, hit_no, start_pos, start_pos + {lengths} as end_pos from ({' union all '.join(parts)}) where hit_no < n" + (f" and hit_no <= {most}" if most else "")
-
-
-@query(_hits_sql(3))
-def passage_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first three hits of each cue in each text."""
-    return P.cue_hits(_documents(spark, sf_dir), CUES, 3)
-
-
-_WINDOWS = f"select doc_id, greatest(0, start_pos - 200) as start_pos, least(length(text), end_pos + 200) as end_pos from ({_hits_sql(3)}) join (select doc_id, text from documents) using (doc_id)"
-_MERGED = f"""select doc_id, min(start_pos) as start_pos, max(end_pos) as end_pos from (select *, sum(new) over (partition by doc_id order by start_pos, end_pos rows unbounded preceding) as island from (
-  select *, case when start_pos <= max(end_pos) over (partition by doc_id order by start_pos, end_pos rows between unbounded preceding and 1 preceding) then 0 else 1 end as new from ({_WINDOWS}))) group by doc_id, island"""
-
-
-def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = _documents(spark, sf_dir)
-    hits = P.cue_hits(documents, CUES, 3).join(documents.select("doc_id", F.length("text").alias("size")), "doc_id")
-    return hits.select("doc_id", F.greatest(F.lit(0), F.col("start_pos") - 200).alias("start_pos"), F.least("size", F.col("end_pos") + 200).alias("end_pos"))
-
-
-@query(_MERGED)
-def interval_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.merged_spans(_windows(spark, sf_dir), "doc_id")
-
-
-@query(f"select doc_id, start_pos, least(end_pos, start_pos + 600 - used) as end_pos from (select *, coalesce(sum(end_pos - start_pos) over (partition by doc_id order by start_pos rows between unbounded preceding and 1 preceding), 0)::bigint as used from ({_MERGED})) where used < 600")
-def running_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.capped_spans(P.merged_spans(_windows(spark, sf_dir), "doc_id"), "doc_id", 600)
+_HITS = " union all ".join(f"select doc_id, '{name}' as cue, k as hit_no, start_pos from ({spots_sql('select doc_id, text from documents', quoted('(?i)' + cue), front='')})" for name, cue in CUES.items())
 
 
 _MARKS = f"select doc_id, start_pos, heading as label from ({_HEADS})"
 
 
-@query(f"select h.doc_id, concat(h.cue, ':', h.hit_no) as point_id, h.start_pos, arg_max(m.label, m.start_pos) as label from ({_hits_sql(None)}) h left join ({_MARKS}) m on m.doc_id = h.doc_id and m.start_pos < h.start_pos and m.start_pos >= h.start_pos - 4000 group by all")
+@query(f"select h.doc_id, concat(h.cue, ':', h.hit_no) as point_id, h.start_pos, arg_max(m.label, m.start_pos) as label from ({_HITS}) h left join ({_MARKS}) m on m.doc_id = h.doc_id and m.start_pos < h.start_pos and m.start_pos >= h.start_pos - 4000 group by all")
 def asof_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The heading that each cue stands under: the nearest one before it within 4,000 characters."""
     documents = _documents(spark, sf_dir)
@@ -244,7 +229,7 @@ def asof_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.nearest_before(points, P.sections(documents).select("doc_id", "start_pos", F.col("heading").alias("label")), "doc_id", 4000)
 
 
-@query(f"select cue, count(*) as n from ({_hits_sql(None)}) h where exists (select 1 from ({_MARKS}) m where m.doc_id = h.doc_id and abs(m.start_pos - h.start_pos) <= 300) group by cue")
+@query(f"select cue, count(*) as n from ({_HITS}) h where exists (select 1 from ({_MARKS}) m where m.doc_id = h.doc_id and abs(m.start_pos - h.start_pos) <= 300) group by cue")
 def band_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cues that stand within 300 characters of a heading."""
     documents = _documents(spark, sf_dir)
@@ -267,63 +252,6 @@ def evidence_inclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- rules, labels, findings -----------------------------------------------------------------
 
-_RULES = {
-    "plazo_ejecucion": r"plazo de ejecución es de (\d+ (?:días naturales|días|semanas|meses|años))",
-    "presupuesto": r"presupuesto base de licitación asciende a (\d{1,3}(?:\.\d{3})*(?:,\d+)?) ?(?:€|EUR|euros)",
-    "iva": r"IVA aplicable es del (\d{1,2}) %",
-    "garantia_definitiva": r"garantía definitiva será del (\d{1,2}) % del precio final",
-    "clasificacion": r"clasificación del (grupo [A-Z], subgrupo \d+, categoría \d+)",
-    "solvencia_economica": r"volumen anual de negocios superior a (\d{1,3}(?:\.\d{3})*(?:,\d+)?)",
-    "seguro": r"seguro de responsabilidad civil por importe mínimo de (\d{1,3}(?:\.\d{3})*(?:,\d+)?)",
-    "expediente": r"El expediente (\d+/\d{4}) se tramita",
-    "procedimiento": r"se tramita por procedimiento ([a-z]+(?: simplificado)?)",
-    "cpv": r"código CPV de la prestación principal es (\d{8}-\d)",
-}
-
-
-@query(" union all ".join(f"select doc_id, '{field}' as field, regexp_extract(text, '{pattern}', 1) as value from documents where regexp_matches(text, '{pattern}')" for field, pattern in _RULES.items()))
-def field_extraction_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each rule that hits a text, from one scan: rules are a table, so other document families are configuration."""
-    rows = F.array(*(F.struct(F.lit(field).alias("field"), F.nullif(F.regexp_extract("text", pattern, 1), F.lit("")).alias("value")) for field, pattern in _RULES.items()))
-    return _documents(spark, sf_dir).select("doc_id", F.inline(rows)).filter("value is not null")
-
-
-_LABELS = ("presupuesto base de licitación", "presupuesto de licitación", "valor estimado")
-_EXECUTION = ("plazo de ejecuci[oó]n", "plazo de duraci[oó]n", "duraci[oó]n del contrato", "plazo total de ejecuci[oó]n")
-_WARRANTY = ("plazo de garant[ií]a", "per[ií]odo de garant[ií]a")
-_GUARANTEE = ("garant[ií]a definitiva",)
-#: Ends of words count ASCII letters only, as in JavaScript.
-_START, _END = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
-_GUARD = rf"(?iu){_START}(?:sea|inferior|superior|igual o superior|cuando|exceda?|excede|umbral|mayor|menor|no podr|responsabilidad|transcurrid|vicios ocultos|a partir de|en su caso|por ejemplo|al menos|como m[ií]nimo|m[aá]ximo de){_END}"
-_TYPED = {
-    "money": (r"\d{1,3}(?:\.\d{3})*(?:,\d+)?", rf"€|(?:EUR|euros){_END}"),
-    "duration": (r"\d{1,3}", rf"(?:meses|mes|semanas|semana|d[ií]as|d[ií]a|a[ñn]os|a[ñn]o){_END}"),
-    "percent": (r"\d{1,2}", "%"),
-}
-
-
-def labeled_value(text: Column, labels: tuple[str, ...], kind: str) -> Column:
-    """The first value of a type within 70 characters of a label, labels in order of priority, none behind threshold words."""
-    value, unit = _TYPED[kind]
-    pattern = rf"(?ius)^(.*?)({value})[\s\p{{Z}}]*({unit})"
-    found = []
-    for label in labels:
-        # the context is only looked at, so that a label within another's context is tried too
-        contexts = F.regexp_extract_all(text, F.lit(rf"(?iu){label}(?=((?s:.{{0,100}})))"), F.lit(1))
-        good = F.filter(contexts, lambda c: c.rlike(pattern) & (F.length(F.regexp_extract(c, pattern, 1)) <= 70) & ~F.regexp_extract(c, pattern, 1).rlike(_GUARD))
-        first = F.get(good, F.lit(0))
-        number = F.regexp_extract(first, pattern, 2)
-        found.append({"money": F.concat(number, F.lit(" €")), "duration": F.concat(number, F.lit(" "), F.upper(F.regexp_extract(first, pattern, 3))), "percent": F.concat(number, F.lit("%"))}[kind])
-    return F.coalesce(*found) if len(found) > 1 else found[0]
-
-
-@query()
-def label_scanner(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What stands behind the labels of amounts (`value`), terms and the guarantee's percentage."""
-    fields = {"value": (_LABELS, "money"), "plazo_ejecucion": (_EXECUTION, "duration"), "plazo_garantia": (_WARRANTY, "duration"), "garantia_definitiva": (_GUARANTEE, "percent")}
-    return _documents(spark, sf_dir).select("doc_id", *(labeled_value(F.col("text"), *rule).alias(name) for name, rule in fields.items()))
-
-
 _FINDINGS = f"select result_id, value, reference, source from ({LATEST}) f left join ({SOURCES}) s on f.document = s.file where {has('value')}"
 
 
