@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lindero.functions import text as X
 from lindero.operators import extraction as E
 from lindero.operators import segments as S
 from lindero.operators.passages import unfolded
@@ -266,19 +265,3 @@ def clause_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The clause that usually holds what a section's heading is about, and both forms of reference."""
     clause = E.hinted_clause(F.col("heading"))
     return table(spark, sf_dir, "document_sections").filter("heading is not null").select("section_id", clause.alias("clause"), E.clause_reference(clause).alias("reference"), E.item_reference(F.col("section_key")).alias("item_reference"))
-
-
-_PAIRS = """select parse_id, header, cell, row_number() over (partition by parse_id order by tno, rno, header) as ord from (select parse_id, tno, rno, e.key as header, e.value as cell from (select parse_id, tno, rno, unnest(map_entries(r)) as e from (
-  select parse_id, tno, generate_subscripts(t, 1) as rno, unnest(t) as r from (select parse_id, generate_subscripts(parsed_tables, 1) as tno, unnest(parsed_tables) as t from (select distinct on (parse_id) * from docling_parses where parsed_tables is not null order by parse_id, parsed_at desc)))))"""
-
-
-@query(f"select parse_id, field, arg_min({squeeze('cell')}, ord) as value from ({_PAIRS}) join {_CUES} on regexp_matches(header, pattern) where {squeeze('cell')} <> '' group by parse_id, field")
-def mapped_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of a generic extractor, here the cells of parsed tables, on the schema's fields: the first pair whose key holds a cue of the field."""
-    from lindero.operators.evidence import once
-
-    parses = once(table(spark, sf_dir, "docling_parses").filter("parsed_tables is not null").select("parse_id", "parsed_at", "parsed_tables"), "parse_id", "parsed_at")
-    cells = parses.select("parse_id", F.posexplode("parsed_tables").alias("tno", "t")).select("parse_id", "tno", F.posexplode("t").alias("rno", "r")).select("parse_id", "tno", "rno", F.explode("r").alias("header", "cell"))
-    fits = F.array_compact(F.array(*(F.when(F.col("header").rlike("|".join(E.java(p) for p in patterns)), field) for field, patterns in S.CUES.items())))
-    rows = cells.filter(X.present(F.col("cell"))).select("parse_id", F.struct("tno", "rno", "header").alias("ord"), X.squeezed(F.col("cell")).alias("cell"), F.explode(fits).alias("field"))
-    return rows.groupBy("parse_id", "field").agg(F.min_by("cell", "ord").alias("value"))
