@@ -120,10 +120,9 @@ def reliability_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Latency of calls by arm; p90 is the value at place int(0.9 n) of the sorted ones."""
     attempts = F.from_json("body", "struct<call:struct<attempts:array<struct<latency_ms:bigint>>>>")["call"]["attempts"]["latency_ms"]
     rows = _calls(spark, sf_dir).select("arm", F.aggregate(attempts, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("latency")).filter("latency is not null")
-    base = rows.groupBy("arm").agg(F.count("*").alias("calls"), F.round(F.avg("latency"), 4).alias("mean"), F.round(F.percentile("latency", 0.5), 4).alias("median"), F.max("latency").alias("most"))
-    counts = rows.groupBy("arm", "latency").count().withColumn("upto", F.sum("count").over(Window.partitionBy("arm").orderBy("latency")))
-    place = counts.join(base.select("arm", "calls"), "arm").filter(F.col("upto") >= F.least(F.col("calls"), F.floor(F.col("calls") * 0.9) + 1)).groupBy("arm").agg(F.min("latency").alias("p90"))
-    return base.join(place, "arm")
+    base = rows.groupBy("arm").agg(F.count("*").alias("calls"), F.round(F.avg("latency"), 4).alias("mean"), F.max("latency").alias("most"))
+    places = V.ranked(rows, ["arm"], "latency").select("arm", F.round("median", 4).alias("median"), F.col("p90").cast("bigint").alias("p90"))
+    return base.join(places, base["arm"].eqNullSafe(places["arm"])).select(base["arm"], "calls", "mean", "median", "most", "p90")
 
 
 _USAGE = "struct<call:struct<retries:bigint,finish_reason:string,usage:struct<promptTokenCount:bigint,candidatesTokenCount:bigint>>>"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lindero.functions import text as X
@@ -364,11 +364,10 @@ def amount_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"select method, field, round(avg(confidence), 6) as mean, round(coalesce(stddev_samp(confidence), 0), 6) as sd, round(quantile_cont(confidence, 0.5), 6) as median, list_sort(list(confidence) filter (where confidence is not null))[least(count(confidence), cast(floor(0.9 * count(confidence)) as bigint) + 1)] as p90 from ({LATEST}) group by all")
 def confidence_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean, deviation, median and the value at place int(0.9 n) of the sorted confidences, by rank over value counts."""
+    """Mean, deviation, median and the value at place int(0.9 n) of the sorted confidences, by rank within buckets."""
     rows = values(spark, sf_dir)
     key = ["method", "field"]
-    base = rows.groupBy(*key).agg(F.round(F.avg("confidence"), 6).alias("mean"), F.round(F.coalesce(F.stddev_samp("confidence"), F.lit(0.0)), 6).alias("sd"), F.round(F.percentile("confidence", 0.5), 6).alias("median"), F.count("confidence").alias("_n"))
-    counts = rows.filter("confidence is not null").groupBy(*key, "confidence").count()
-    upto = counts.withColumn("upto", F.sum("count").over(Window.partitionBy(*key).orderBy("confidence")))
-    place = upto.join(base.select(*key, "_n"), key).filter(F.col("upto") >= F.least(F.col("_n"), F.floor(F.col("_n") * 0.9) + 1)).groupBy(*key).agg(F.min("confidence").alias("p90"))
-    return base.drop("_n").join(place, key, "left")
+    base = rows.groupBy(*key).agg(F.round(F.avg("confidence"), 6).alias("mean"), F.round(F.coalesce(F.stddev_samp("confidence"), F.lit(0.0)), 6).alias("sd"))
+    places = V.ranked(rows, key, "confidence")
+    match = [base[k].eqNullSafe(places[k]) for k in key]
+    return base.join(places, match, "left").select(*(base[k] for k in key), "mean", "sd", F.round("median", 6).alias("median"), "p90")
