@@ -9,7 +9,7 @@ import os
 import duckdb
 import pytest
 
-from lindero.plans import cleaning, segments, tables, texts, values, verification  # noqa: F401
+from lindero.plans import cleaning, runs, segments, tables, texts, values, verification  # noqa: F401
 from lindero.plans.registry import QUERIES, SQL
 
 DIR = "/root/testdata/sf0.001"
