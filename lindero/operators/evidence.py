@@ -31,10 +31,27 @@ def sources(parses: DataFrame) -> DataFrame:
     return good.groupBy("file").agg(F.max_by("text", F.struct("parsed_at", "parse_id")).alias("text")).select("file", normalised(F.col("text")).alias("source"))
 
 
+#: Distinct values of a document that are searched in one copy of its source.
+SEARCHED = 20_000
+
+
 def gated(values: DataFrame, texts: DataFrame) -> DataFrame:
-    """`values` with `strict` and `relaxed`: whether each value is located in the source of its document; false without a source."""
-    joined = values.join(texts, values["document"] == texts["file"], "left")
-    return joined.select(*(values[c] for c in values.columns), located_strict(F.col("value"), F.col("source")).alias("strict"), located_relaxed(F.col("value"), F.col("source")).alias("relaxed"))
+    """`values` with `strict` and `relaxed`: whether each value is located in the source of its document; false without a source.
+
+    Only distinct (document, value) pairs meet the sources. A document with more than SEARCHED of them
+    is salted: its pairs are dealt over copies of its source, so none of its searches is one task's
+    work. The results go back to the rows by document and a digest of the value.
+    """
+    digest = F.xxhash64("value")
+    pairs = values.filter(present(F.col("value"))).select("document", "value").distinct()
+    copies = pairs.groupBy("document").agg(F.ceil(F.count("*") / SEARCHED).cast("int").alias("_copies"))
+    salted = texts.join(copies.withColumnRenamed("document", "file"), "file").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
+    dealt = pairs.join(copies, "document").withColumn("_salt", F.pmod(digest, F.col("_copies")).cast("int"))
+    met = dealt.join(salted.select(F.col("file").alias("document"), "_salt", "source"), ["document", "_salt"])
+    found = met.select("document", digest.alias("_value"), located_strict(F.col("value"), F.col("source")).alias("strict"), located_relaxed(F.col("value"), F.col("source")).alias("relaxed")).filter("strict or relaxed")
+    found = found.groupBy("document", "_value").agg(F.bool_or("strict").alias("strict"), F.bool_or("relaxed").alias("relaxed"))
+    rows = values.withColumn("_value", digest).join(found, ["document", "_value"], "left")
+    return rows.select(*values.columns, F.coalesce("strict", F.lit(False)).alias("strict"), F.coalesce("relaxed", F.lit(False)).alias("relaxed"))
 
 
 def first_value(where: Column) -> Column:

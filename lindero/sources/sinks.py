@@ -28,3 +28,14 @@ def archive(records: DataFrame) -> DataFrame:
 
 def tab_separated(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, sep="\t", header=True)
+
+
+def verdict_json(checks: DataFrame) -> DataFrame:
+    """One row of JSON from checks (name, pass): the verdict and what it rests on."""
+    told = F.transform(F.array_sort(F.collect_list(F.struct("name", F.col("pass").alias("passed")))), lambda c: F.concat(c["name"], F.lit(": "), F.when(c["passed"], "yes").otherwise("NO")))
+    return checks.agg(F.to_json(F.struct(F.when(F.bool_and("pass"), "pass").otherwise("deviates").alias("verdict"), F.array_join(told, "; ").alias("reason"))).alias("verdict"))
+
+
+def wide_sheet(cells: DataFrame, columns: list[int]) -> DataFrame:
+    """Cells (sheet, row_no, col_no, value) as rows of sheets, a column for each number of `columns`."""
+    return cells.groupBy("sheet", "row_no").pivot("col_no", columns).agg(F.first("value"))
