@@ -115,7 +115,7 @@ def schema_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CALLS = "select distinct on (record_id) * from campaign_records order by record_id, loaded_at desc, body desc"
 
 
-@query(f"select arm, run_no, count(*) as documents, bool_and(json_valid(body) and json_type(body) = 'OBJECT') as usable from ({_CALLS}) where body is not null group by all having count(*) >= 2")
+@query(f"select arm, run_no, count(*) as documents, bool_and(case when json_valid(body) then json_type(body) = 'OBJECT' else false end) as usable from ({_CALLS}) where body is not null group by all having count(*) >= 2")
 def protocol_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of two records or more, and whether all of their records are readable."""
     rows = V.once(table(spark, sf_dir, "campaign_records"), "record_id", "loaded_at").filter("body is not null")
@@ -262,7 +262,7 @@ def consistency_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SHAPES = {"nested": "json_type(body, '$.fields') = 'OBJECT'", "listed": "json_type(body, '$.fields') = 'ARRAY'", "lots": "json_type(body, '$.lotes') = 'ARRAY'", "none": "json_type(body, '$.fields') is null"}
 
 
-@query(" union all ".join(f"select '{n}' as shape, count(*) as records, count(*) filter (where {c}) as accepted from ({_CALLS}) where json_valid(body) and json_type(body) = 'OBJECT'" for n, c in _SHAPES.items()))
+@query(" union all ".join(f"select '{n}' as shape, count(*) as records, count(*) filter (where {c}) as accepted from (select case when json_valid(body) then body end as body from ({_CALLS})) where json_type(body) = 'OBJECT'" for n, c in _SHAPES.items()))
 def shape_acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many readable records fit each variant of the schema."""
     rows = V.once(table(spark, sf_dir, "campaign_records"), "record_id", "loaded_at").select(F.try_parse_json("body").alias("b")).filter(F.schema_of_variant("b").startswith("OBJECT"))

@@ -131,7 +131,7 @@ def passage_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("doc_id", "field", "cue_no", "hit_no", F.col("start").alias("start_pos"), F.col("end").alias("end_pos"))
 
 
-_SPANS = f"select doc_id, text, greatest(0, start_pos - 1500) as s, least(length(text), stop_pos + 1500) as e from ({_HITS}) where k <= 3"
+_SPANS = f"select distinct doc_id, text, greatest(0, start_pos - 1500) as s, least(length(text), stop_pos + 1500) as e from ({_HITS}) where k <= 3"
 _MERGED = f"""select doc_id, any_value(text) as text, min(s) as start_pos, max(e) as end_pos from (select *, sum(new) over (partition by doc_id order by s, e rows unbounded preceding) as island from (
   select *, case when s <= max(e) over (partition by doc_id order by s, e rows between unbounded preceding and 1 preceding) then 0 else 1 end as new from ({_SPANS}))) group by doc_id, island"""
 
