@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lindero.functions.text import boundary_match, located_relaxed, located_strict, normalised, present
+from lindero.functions.text import MONEY_FIELDS, boundary_match, located_relaxed, located_strict, normalised, percent, present, spanish_amount, well_formed
 
+# Names of fields, methods and configurations.
 #: Fields for which the model's value goes before the rules' value.
 MODEL_FIRST = ("tipo_contrato", "iva", "organo_contratacion")
 RULE_METHODS = ("ccec", "generic", "derived")
@@ -109,6 +110,27 @@ def spread(df: DataFrame, keys: list[str], measure: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.avg(measure).alias("mean"), F.coalesce(F.stddev_samp(measure), F.lit(0.0)).alias("sd"), F.min(measure).alias("least"), F.max(measure).alias("most"), F.count(measure).alias("n"))
 
 
+#: Share by which two figures may differ, and what each check is about.
+TOLERANCE = 0.02
+CHECKS = {
+    "base_iva_total": ("presupuesto_base_sin_iva", "presupuesto_base_con_iva", "iva"), "iva_amount": ("iva",), "valor_ge_base": ("valor_estimado_contrato", "presupuesto_base_sin_iva"),
+    **{f"amount_well_formed:{f}": (f,) for f in MONEY_FIELDS},
+}
+
+
+def validated(records: DataFrame, key: str = "document") -> DataFrame:
+    """(key, issues, review, consistent) of records (key, the three amounts, iva): which checks fail, and the fields to look at again. Nothing is withheld."""
+    base, total, valor = (spanish_amount(F.col(f)) for f in MONEY_FIELDS)
+    rate, tax = percent(F.col("iva")), spanish_amount(F.regexp_replace("iva", r"^\D*\d{1,2}\s*%", ""))
+    apart = lambda a, b: ~(F.abs(a - b) <= TOLERANCE * F.greatest(a, b))
+    failed = {"base_iva_total": apart(base * (1 + rate / 100), total), "iva_amount": apart(base * rate / 100, tax), "valor_ge_base": valor < base * (1 - TOLERANCE)}
+    failed |= {f"amount_well_formed:{f}": present(F.col(f)) & ~well_formed(F.col(f)) for f in MONEY_FIELDS}
+    issues = F.array_compact(F.array(*(F.when(c, name) for name, c in failed.items())))
+    rows = records.select(key, F.explode_outer(F.array(F.struct(issues.alias("names")))).alias("i"))
+    fields = F.create_map(*(x for name, about in CHECKS.items() for x in (F.lit(name), F.array(*map(F.lit, about)))))
+    return rows.select(key, F.col("i.names").alias("issues"), F.sort_array(F.array_distinct(F.flatten(F.transform("i.names", lambda n: fields[n])))).alias("review"), (F.size("i.names") == 0).alias("consistent"))
+
+
 #: Buckets into which `ranked` parts the range of each group.
 BUCKETS = 4096
 

@@ -190,6 +190,40 @@ def paired_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.filter("arm != 'control'").join(control, "run_no").groupBy("arm").agg(F.count("*").alias("pairs"), F.round(F.avg(diff), 6).alias("effect"), F.round(F.coalesce(F.stddev_samp(diff), F.lit(0.0)) / F.sqrt(F.count("*")), 6).alias("error"))
 
 
+_DIFFS = f"select a.arm, count(*) as pairs, avg(a.covered - c.covered) as effect, coalesce(stddev_samp(a.covered - c.covered), 0) as sd from ({_COVERAGE}) a join (select run_no, covered from ({_COVERAGE}) where arm = 'control') c using (run_no) where a.arm <> 'control' group by a.arm"
+
+
+@query(f"select arm, pairs, round(effect, 6) as effect, round(effect - coalesce(point, 1.96) * sd / sqrt(pairs), 6) as low, round(effect + coalesce(point, 1.96) * sd / sqrt(pairs), 6) as high from ({_DIFFS}) left join {_T} on df = pairs - 1")
+def paired_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The paired effect of each arm with its t interval."""
+    runs = _coverage(spark, sf_dir)
+    control = runs.filter("arm = 'control'").select("run_no", F.col("covered").alias("base"))
+    diff = F.col("covered") - F.col("base")
+    rows = runs.filter("arm != 'control'").join(control, "run_no").groupBy("arm").agg(F.count("*").alias("pairs"), F.avg(diff).alias("effect"), F.coalesce(F.stddev_samp(diff), F.lit(0.0)).alias("sd"))
+    points = spark.createDataFrame(list(T_POINTS.items()), "df int, point double")
+    half = F.coalesce("point", F.lit(1.96)) * F.col("sd") / F.sqrt("pairs")
+    joined = rows.join(F.broadcast(points), F.col("pairs") - 1 == F.col("df"), "left")
+    return joined.select("arm", "pairs", F.round("effect", 6).alias("effect"), F.round(F.col("effect") - half, 6).alias("low"), F.round(F.col("effect") + half, 6).alias("high"))
+
+
+_JSON = f"select arm, case when json_valid(body) then body end as body from ({_RECORDS})"
+
+
+@query(
+    f"""select arm, count(*) as records, round(count(*) filter (where json_type(body) = 'OBJECT') / count(*), 6) as parseable_rate, count(*) filter (where json_extract_string(body, '$.call.finish_reason') = 'MAX_TOKENS') as truncated, round(avg(cast(json_extract(body, '$.call.retries') as bigint)), 6) as retries_per_call,
+  round(avg(cast(json_extract(body, '$.call.usage.promptTokenCount') as bigint)), 6) as prompt_mean, round(avg(cast(json_extract(body, '$.call.usage.candidatesTokenCount') as bigint)), 6) as output_mean from ({_JSON}) group by arm"""
+)
+def reliability_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many records of an arm are readable and cut, retries for each call and mean tokens."""
+    rows = V.once(table(spark, sf_dir, "campaign_records"), "record_id", "loaded_at").select("arm", F.try_parse_json("body").alias("b"))
+    call = lambda path, kind: F.try_variant_get("b", f"$.call.{path}", kind)
+    object_ = F.schema_of_variant("b").startswith("OBJECT")
+    return rows.groupBy("arm").agg(
+        F.count("*").alias("records"), F.round(F.count(F.when(object_, 1)) / F.count("*"), 6).alias("parseable_rate"), F.count(F.when(call("finish_reason", "string") == "MAX_TOKENS", 1)).alias("truncated"), F.round(F.avg(call("retries", "bigint")), 6).alias("retries_per_call"),
+        F.round(F.avg(call("usage.promptTokenCount", "bigint")), 6).alias("prompt_mean"), F.round(F.avg(call("usage.candidatesTokenCount", "bigint")), 6).alias("output_mean"),
+    )
+
+
 @query(f"select arm, round(avg(share), 6) as share from (select arm, run_no, round(100.0 * count(*) filter (where not {has('value')}) / count(*)) as share from ({LATEST}) group by all) group by arm")
 def empty_share_rounded_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentages rounded for each run, then averaged: the order matters."""

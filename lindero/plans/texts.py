@@ -234,3 +234,19 @@ def evidence_inclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dedup_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first document of each key; an ordered aggregate, so a hot key combines on the map side."""
     return _documents(spark, sf_dir).groupBy("source", F.substring("text", 1, 50).alias("key")).agg(F.min("doc_id").alias("doc_id")).select("doc_id", "source")
+
+
+_MISSED = f"select g.document, rule, field, contains(substring(source, 1, size), {norm('gold')}) as inside from ({GOLD}) g join ({SOURCES}) s on g.document = s.file cross join (values ('head', 300), ('full', 100000000)) r(rule, size)"
+
+
+@query(f"select document, rule, count(*) as labels, count(*) filter (where inside) as included, round(count(*) filter (where inside) / count(*), 4) as rate, coalesce(list_sort(list(field) filter (where not inside)), []) as missing from ({_MISSED}) group by all union all select 'all', rule, count(*), count(*) filter (where inside), round(count(*) filter (where inside) / count(*), 4), [] from ({_MISSED}) group by rule")
+def evidence_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By document and rule: labels in what the rule leaves of the source, their share and the missing fields; and totals of each rule."""
+    rows = gold_labels(table(spark, sf_dir, "golden_labels")).join(sources(table(spark, sf_dir, "docling_parses")), F.col("document") == F.col("file"))
+    gold = X.normalised(F.col("gold"))
+    rules = F.inline(F.array(F.struct(F.lit("head").alias("rule"), F.contains(F.substring("source", 1, 300), gold).alias("inside")), F.struct(F.lit("full").alias("rule"), F.contains("source", gold).alias("inside"))))
+    told = rows.select("document", "field", rules)
+    measures = [F.count("*").alias("labels"), F.count(F.when(F.col("inside"), 1)).alias("included"), F.round(F.count(F.when(F.col("inside"), 1)) / F.count("*"), 4).alias("rate")]
+    each = told.groupBy("document", "rule").agg(*measures, F.sort_array(F.collect_list(F.when(~F.col("inside"), F.col("field")))).alias("missing"))
+    totals = told.groupBy("rule").agg(*measures).select(F.lit("all").alias("document"), "rule", "labels", "included", "rate", F.array().cast("array<string>").alias("missing"))
+    return each.unionByName(totals)

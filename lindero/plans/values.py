@@ -294,30 +294,59 @@ def _firsts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return values(spark, sf_dir).filter(X.present(F.col("value"))).groupBy("document", "field").agg(F.min_by("value", "result_id").alias("value"))
 
 
-_WIDE = f"""select document, {amount('base_v')} as base, {amount('total_v')} as total, {amount('valor_v')} as valor, try_cast(regexp_extract(iva_v, '(\\d{{1,2}})\\s*%', 1) as integer) as rate, base_v, total_v, valor_v from (
-  select document, max(value) filter (where field = 'presupuesto_base_sin_iva') as base_v, max(value) filter (where field = 'presupuesto_base_con_iva') as total_v, max(value) filter (where field = 'valor_estimado_contrato') as valor_v, max(value) filter (where field = 'iva') as iva_v from ({_FIRSTS}) group by document)"""
-
-
 def _well(c: str) -> str:
     return f"coalesce({WELL.replace('value', c)}, false)"
 
 
-@query(
-    f"""select document, 'base_iva_total' as chk from ({_WIDE}) where not abs(base * (1 + rate / 100) - total) <= 0.02 * greatest(base * (1 + rate / 100), total)
-  union all select document, 'valor_ge_base' from ({_WIDE}) where valor < base * 0.98
-  union all select document, 'amount_well_formed:presupuesto_base_sin_iva' from ({_WIDE}) where base_v is not null and not {_well('base_v')}
-  union all select document, 'amount_well_formed:presupuesto_base_con_iva' from ({_WIDE}) where total_v is not null and not {_well('total_v')}
-  union all select document, 'amount_well_formed:valor_estimado_contrato' from ({_WIDE}) where valor_v is not null and not {_well('valor_v')}"""
-)
+_RECORDS = f"select document, max(value) filter (where field = 'presupuesto_base_sin_iva') as base_v, max(value) filter (where field = 'presupuesto_base_con_iva') as total_v, max(value) filter (where field = 'valor_estimado_contrato') as valor_v, max(value) filter (where field = 'iva') as iva_v from ({_FIRSTS}) group by document"
+#: Records made from orders, with wrong totals, taxes, values and broken amounts among them.
+_MADE = lambda es: f"""select cast(o_orderkey as string) as document, case when o_orderkey % 13 = 0 then '000,00 €' else {es('o_totalprice')} || ' €' end as base_v, case when o_orderkey % 17 = 0 then null else {es("o_totalprice * case when o_orderkey % 7 = 0 then 1.5 else 1.21 end")} || ' €' end as total_v,
+  {es("o_totalprice * case when o_orderkey % 3 = 0 then 0.9 else 1.3 end")} || ' €' as valor_v, '21% (' || {es("o_totalprice * case when o_orderkey % 5 = 0 then 0.3 else 0.21 end")} || ' €)' as iva_v from orders"""
+
+
+def _checked(rows: str) -> str:
+    """(document, chk, fields): a row for each check that fails."""
+    wide = f"(select *, {amount('base_v')} as base, {amount('total_v')} as total, {amount('valor_v')} as valor, try_cast(regexp_extract(iva_v, '(\\d{{1,2}})\\s*%', 1) as integer) as rate, {amount("regexp_replace(iva_v, '^\\D*\\d{1,2}\\s*%', '')")} as tax from ({rows}))"
+    parts = [
+        f"select document, 'base_iva_total' as chk, ['presupuesto_base_sin_iva', 'presupuesto_base_con_iva', 'iva'] as fields from {wide} where not abs(base * (1 + rate / 100) - total) <= 0.02 * greatest(base * (1 + rate / 100), total)",
+        f"select document, 'iva_amount', ['iva'] from {wide} where not abs(base * rate / 100 - tax) <= 0.02 * greatest(base * rate / 100, tax)",
+        f"select document, 'valor_ge_base', ['valor_estimado_contrato', 'presupuesto_base_sin_iva'] from {wide} where valor < base * 0.98",
+    ]
+    parts += [f"select document, 'amount_well_formed:{f}', ['{f}'] from {wide} where {has(c)} and not {_well(c)}" for f, c in zip(X.MONEY_FIELDS, ("base_v", "total_v", "valor_v"), strict=True)]
+    return " union all ".join(parts)
+
+
+@query(f"select document, chk from ({_checked(_RECORDS)})")
 def validation_issues_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Issues of each document's record: the sum of base and tax, the order of value and base, incomplete amounts. Nothing is withheld."""
+    """Issues of each document's record: base, tax and total, tax amount, order of value and base, incomplete amounts."""
     pick = lambda f: F.max(F.when(F.col("field") == f, F.col("value")))
     wide = _firsts(spark, sf_dir).groupBy("document").agg(*(pick(f).alias(f) for f in (*X.MONEY_FIELDS, "iva")))
-    base, total, valor = (X.spanish_amount(F.col(f)) for f in X.MONEY_FIELDS)
-    expected = base * (1 + X.percent(F.col("iva")) / 100)
-    checks = [F.when(~(F.abs(expected - total) <= 0.02 * F.greatest(expected, total)), "base_iva_total"), F.when(valor < base * 0.98, "valor_ge_base")]
-    checks += [F.when(F.col(f).isNotNull() & ~X.well_formed(F.col(f)), f"amount_well_formed:{f}") for f in X.MONEY_FIELDS]
-    return wide.select("document", F.explode(F.array_compact(F.array(*checks))).alias("chk"))
+    return V.validated(wide).select("document", F.explode("issues").alias("chk"))
+
+
+_MADE_SQL = _MADE(lambda x: f"translate(format('{{:,.2f}}', {x}), ',.', '.,')")
+
+
+@query(f"select m.document, coalesce(list_sort(list(chk) filter (where chk is not null)), []) as issues, coalesce(list_sort(list_distinct(flatten(list(fields) filter (where chk is not null)))), []) as review, count(chk) = 0 as consistent from ({_MADE_SQL}) m left join ({_checked(_MADE_SQL)}) c using (document) group by m.document")
+def validation_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All checks on records made from orders, with the fields to be reviewed."""
+    made = _MADE(lambda x: f"translate(format_number({x}, 2), ',.', '.,')")
+    names = dict(zip(("base_v", "total_v", "valor_v"), X.MONEY_FIELDS, strict=True)) | {"iva_v": "iva"}
+    orders = table(spark, sf_dir, "orders").selectExpr(*_columns_of(made))
+    out = V.validated(orders.withColumnsRenamed(names))
+    return out.withColumn("issues", F.sort_array("issues"))
+
+
+def _columns_of(select: str) -> list[str]:
+    """The expressions of a SELECT list, parted at commas outside brackets and quotes."""
+    body, parts, depth, quote, start = select.removeprefix("select ").rpartition(" from orders")[0], [], 0, False, 0
+    for k, ch in enumerate(body):
+        quote ^= ch == "'"
+        depth += (ch == "(") - (ch == ")") if not quote else 0
+        if ch == "," and not depth and not quote:
+            parts.append(body[start:k])
+            start = k + 1
+    return [*parts, body[start:]]
 
 
 _MANIFEST = "select distinct on (manifest_id) * from corpus_manifest order by manifest_id, loaded_at desc"
