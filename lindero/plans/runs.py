@@ -110,6 +110,18 @@ def schema_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return values(spark, sf_dir).select("result_id", F.explode(broken).alias("issue"), F.coalesce("reference", F.lit("media")).alias("severity"))
 
 
+_PLAIN = " + ".join(f"case when json_type(r, '$.{f}') in ('VARCHAR', 'NULL') then 1 else 0 end" for f in R.FIELDS)
+
+
+@query(f"select doc_id, {_PLAIN} as plain, {_PLAIN} = {len(R.FIELDS)} as compliant from ({_UNWRAPPED})")
+def answer_compliance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether an answer has all 22 fields under their own names, each a string or null."""
+    rows = _answers(spark, sf_dir)
+    own = F.array(*(F.try_variant_get("r", f"$.{f}", "variant") for f in R.FIELDS))
+    plain = F.size(F.filter(own, lambda v: v.isNotNull() & F.schema_of_variant(v).isin("STRING", "VOID")))
+    return rows.select("doc_id", plain.alias("plain"), (plain == len(R.FIELDS)).alias("compliant"))
+
+
 # --- runs ------------------------------------------------------------------------------------
 
 _CALLS = "select distinct on (record_id) * from campaign_records order by record_id, loaded_at desc, body desc"
@@ -146,6 +158,30 @@ def ablation_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _T = "(values " + ", ".join(f"({k}, {v})" for k, v in T_POINTS.items()) + ") t(df, point)"
+_MEASURES = ("correct", "emitted", "incorrect", "abstention", "precision", "recall", "f1")
+
+
+@query(" union all ".join(f"select arm, config, '{m}' as measure, round(avg({m}), 6) as mean, round(coalesce(stddev_samp({m}), 0), 6) as sd, round(min({m})::double, 6) as least, round(max({m})::double, 6) as most, count({m}) as n from ({METRICS}) group by all" for m in _MEASURES))
+def arm_table_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every measure of each arm and configuration over its runs."""
+    rows = _metrics(spark, sf_dir).select("arm", "config", F.inline(F.array(*(F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("x")) for m in _MEASURES))))
+    return _rounded(V.spread(rows, ["arm", "config", "measure"], "x"))
+
+
+@query(
+    f"""with g as (select document, field, arg_min(value, result_id) filter (where method in ('ccec','generic','derived')) as rule_value, arg_min(value, result_id) filter (where method in ('llm','ner')) as model_value, arg_min(strict, result_id) filter (where method in ('llm','ner')) as located from ({GATED}) where {has('value')} group by all)
+    select document, field, case when field in ('tipo_contrato','iva','organo_contratacion') then coalesce(case when located then model_value end, rule_value) else coalesce(rule_value, case when located then model_value end) end as value, case when model_value is not null and not located then 'withheld' end as note from g"""
+)
+def merge_gated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules and model routed by field behind the gate; a field that loses its value keeps a row with the note why."""
+    rows = _gated(spark, sf_dir).filter(X.present(F.col("value")))
+    rule, model = F.when(F.col("method").isin(*V.RULE_METHODS), F.col("result_id")), F.when(F.col("method").isin("llm", "ner"), F.col("result_id"))
+    both = rows.groupBy("document", "field").agg(F.min_by("value", rule).alias("rule_value"), F.min_by("value", model).alias("model_value"), F.min_by("strict", model).alias("located"))
+    given = F.when(F.col("located"), F.col("model_value"))
+    value = F.when(F.col("field").isin(*V.MODEL_FIRST), F.coalesce(given, "rule_value")).otherwise(F.coalesce("rule_value", given))
+    return both.select("document", "field", value.alias("value"), F.when(F.col("model_value").isNotNull() & ~F.col("located"), "withheld").alias("note"))
+
+
 _PASSES = f"select config, arm, run_no, count(*) filter (where {has('value')})::double as covered from ({CONFIGS}) group by all"
 
 

@@ -143,6 +143,20 @@ def cost_per_arm(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Prices of a million tokens in and out, and the rate of the second currency.
+PRICES, RATE = (0.30, 2.50), 0.92
+_TOKENS = f"select arm, cast(json_extract(body, '$.call.usage.promptTokenCount') as bigint) as p, cast(json_extract(body, '$.call.usage.candidatesTokenCount') as bigint) as o from ({_CALLS})"
+
+
+@query(f"select sum(p)::bigint as prompt, sum(o)::bigint as output, round(sum(p) / 1e6 * {PRICES[0]} + sum(o) / 1e6 * {PRICES[1]}, 6) as usd, round((sum(p) / 1e6 * {PRICES[0]} + sum(o) / 1e6 * {PRICES[1]}) * {RATE}, 6) as eur from ({_TOKENS})")
+def cost_two_currencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of all calls and their charge in two currencies."""
+    rows = _calls(spark, sf_dir).select(F.from_json("body", _USAGE)["call"].alias("c"))
+    prompt, output = F.sum("c.usage.promptTokenCount"), F.sum("c.usage.candidatesTokenCount")
+    usd = prompt / 1e6 * PRICES[0] + output / 1e6 * PRICES[1]
+    return rows.agg(prompt.alias("prompt"), output.alias("output"), F.round(usd, 6).alias("usd"), F.round(usd * RATE, 6).alias("eur"))
+
+
 @query(f"select record_id, cast(started_at as date) as day, date_diff('millisecond', started_at, finished_at) as elapsed_ms, printf('%02d:%02d', date_diff('second', started_at, finished_at) // 60, date_diff('second', started_at, finished_at) % 60) as clock from ({_RECORDS}) where started_at >= timestamp '2025-01-01'")
 def run_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Day, elapsed milliseconds and mm:ss of each record."""
