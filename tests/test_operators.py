@@ -9,7 +9,7 @@ from lindero.operators import evidence as V
 from lindero.operators import passages as P
 from lindero.operators import segments as S
 from lindero.operators import verification as W
-from lindero.plans import cleaning, segments, texts
+from lindero.plans import cleaning, runs, segments, texts
 
 DIR = "/root/testdata/sf0.001"
 
@@ -132,3 +132,14 @@ def test_rates_bound_to_other_things(spark):
     cases = [("20 por ciento", "gastos de escritura", True), ("20 %", "gastos de escritura", False), ("20 por ciento", "otros", False), ("10 por ciento", "", True), ("10 por ciento", "garantía", False), ("10 %", "", False)]
     frame = spark.createDataFrame(cases, "v string, c string, e boolean")
     assert [(r.m, r.e) for r in frame.select(cleaning.misbound(F.col("v"), F.col("c")).alias("m"), "e").collect()] == [(e, e) for *_, e in cases]
+
+
+def test_answers_of_odd_shapes(spark, tmp_path):
+    bodies = [
+        '{"ficha": {"objeto": ["obra", {"texto": "puente"}], "iva": {"importe": "21 %", "moneda": "EUR"}, "organo": {"value": " Junta ", "reference": "Cláusula 2"}, "tramitacion": true}}', '{"tender_details": null, "plazo_de_ejecucion": 12, "procedimiento": "  "}', '{"ficha": []}', "{broken", "[1]", None, "{}",
+    ]
+    spark.createDataFrame(list(enumerate(bodies)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    flat = {(r.doc_id, r.field): (r.value, r.clause_reference) for r in runs.answer_fields(spark, str(tmp_path)).collect()}
+    assert flat == {(0, "organo_contratacion"): ("Junta", "Cláusula 2"), (0, "tramitacion"): ("Sí", None), (1, "plazo_ejecucion"): ("12", None)}
+    assert {(r.doc_id, r.field): r.value for r in runs.answer_nested(spark, str(tmp_path)).collect()} == {(0, "objeto_contrato"): "obra; puente", (0, "iva"): "21 %"}
+    assert {r.doc_id: r.filled for r in runs.answer_filled(spark, str(tmp_path)).collect()} == {0: True, 1: True, 6: False}
