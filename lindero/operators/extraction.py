@@ -7,7 +7,7 @@ from one scan, and a text that a rule doesn't fit gives null without failing the
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lindero.functions.text import ascii_edges, squeezed, title_cased
@@ -80,18 +80,27 @@ def _yes(text: Column) -> Column:
     return F.when(F.upper(text).isin("SI", "SÍ"), "SI").otherwise("NO")
 
 
+def _context(text: Column, label: str, kind: str) -> Column:
+    """What follows the first place of a label behind which a value of a type stands within MAX_GAP characters and no words of a threshold; null without one."""
+    pattern = _valued(kind)
+    # the context is only looked at, so that a label within another's context is tried too
+    contexts = F.regexp_extract_all(text, F.lit(rf"(?iu){label}(?=((?s:.{{0,{REACH}}})))"), F.lit(1))
+    gap = lambda c: F.regexp_extract(c, pattern, 1)
+    return F.get(F.filter(contexts, lambda c: c.rlike(pattern) & (F.length(gap(c)) <= MAX_GAP) & ~gap(c).rlike(java(GUARD))), F.lit(0))
+
+
+def _valued(kind: str) -> str:
+    return rf"(?s){java('')}^(.*?)({VALUES[kind]})[\s\x{{00A0}}\x{{FEFF}}]*({ascii_edges(UNITS[kind])})"
+
+
+def _shown(context: Column, kind: str) -> Column:
+    number, unit = F.regexp_extract(context, _valued(kind), 2), F.regexp_extract(context, _valued(kind), 3)
+    return {"money": F.concat(number, F.lit(" €")), "duration": F.concat(number, F.lit(" "), F.upper(unit)), "percent": F.concat(number, F.lit("%"))}[kind]
+
+
 def labelled(text: Column, labels: tuple[str, ...], kind: str) -> Column:
-    """The first value of a type within MAX_GAP characters of a label, labels in order of priority, none behind words of a threshold."""
-    pattern = rf"(?s){java('')}^(.*?)({VALUES[kind]})[\s\x{{00A0}}\x{{FEFF}}]*({ascii_edges(UNITS[kind])})"
-    found = []
-    for label in labels:
-        # the context is only looked at, so that a label within another's context is tried too
-        contexts = F.regexp_extract_all(text, F.lit(rf"(?iu){label}(?=((?s:.{{0,{REACH}}})))"), F.lit(1))
-        gap = lambda c: F.regexp_extract(c, pattern, 1)
-        good = F.filter(contexts, lambda c: c.rlike(pattern) & (F.length(gap(c)) <= MAX_GAP) & ~gap(c).rlike(java(GUARD)))
-        first = F.get(good, F.lit(0))
-        number, unit = F.regexp_extract(first, pattern, 2), F.regexp_extract(first, pattern, 3)
-        found.append({"money": F.concat(number, F.lit(" €")), "duration": F.concat(number, F.lit(" "), F.upper(unit)), "percent": F.concat(number, F.lit("%"))}[kind])
+    """The first value of a type behind a label, labels in order of priority."""
+    found = [_shown(_context(text, label, kind), kind) for label in labels]
     return F.coalesce(*found) if len(found) > 1 else found[0]
 
 
@@ -104,54 +113,63 @@ def _joined(*parts: Column) -> Column:
     return F.nullif(F.array_join(F.array_compact(F.array(*parts)), "; "), F.lit(""))
 
 
-def fields(text: Column) -> dict[str, Column]:
-    """field to (value, reference, confidence), null where no rule fits."""
-    a = {name: taken(text, pattern) for name, pattern in ANCHORS.items()}
-    amount = lambda name: F.concat(a[name], F.lit(" €"))
-    block = lambda name: F.nullif(F.regexp_extract(text, java(ANCHORS[name]), 0), F.lit(""))
-    kind = F.coalesce(a["tipo_administrativo"], a["tipo_calificacion"], a["tipo_contrato"])
-
-    definitiva = block("definitiva")
-    said = lambda pattern, group=1: taken(definitiva, ANCHORS[pattern], group)
-    parts = _joined(
-        F.concat(F.lit("Procede: "), F.when(said("procede").isNotNull(), _yes(said("procede")))),
-        F.concat(F.lit("Importe: "), said("importe")),
-        F.concat(F.lit("Retención en el precio: "), F.when(said("retencion").isNotNull(), _yes(said("retencion")))),
-    )
-    prose = F.regexp_extract(text, java(ANCHORS["definitiva_prosa"]), 0)
-    basis = F.regexp_replace(F.regexp_replace(squeezed(F.regexp_extract(text, java(ANCHORS["definitiva_prosa"]), 3)), r" \d{1,3}$", ""), r"\.$", "")
-    loose = F.when((prose != "") & ~prose.rlike(java(ANCHORS["definitiva_guarda"])), F.rtrim(F.concat(F.regexp_extract(text, java(ANCHORS["definitiva_prosa"]), 2), F.lit("% "), basis)))
-
-    seguros = block("seguros")
-    insured = lambda name: taken(seguros, ANCHORS[name])
-    policies = _joined(
-        F.concat(F.lit("RC Construcción: "), insured("civil"), F.lit(" € por siniestro y año")),
-        F.concat(F.lit("TR Construcción: "), insured("todo_riesgo"), F.lit(" €")),
-        F.concat(F.lit("Franquicia admisible: "), F.when(insured("franquicia").isNotNull(), _yes(insured("franquicia")))),
-    )
-    warranty, numbered = taken(text, ANCHORS["plazo_garantia"], 2), taken(text, ANCHORS["plazo_garantia"], 1)
-    groups = [F.regexp_extract_all(text, F.lit(java(ANCHORS["clasificacion"])), F.lit(g)) for g in (1, 2, 3)]
-    classes = F.transform(F.arrays_zip(*(g.alias(n) for g, n in zip(groups, "gsc", strict=True))), lambda x: F.concat(F.lit("Grupo "), x["g"], F.lit(", Subgrupo "), x["s"], F.lit(", Categoría "), x["c"]))
-    return {
-        "organo_contratacion": _field(a["organo"], "Anexo I apdo. 2"),
-        "objeto_contrato": F.coalesce(_field(a["objeto"], "Anexo I apdo. 4"), _field(taken(text, OBJECT_HEADING, case=True), "Pliego (objeto del contrato)", False)),
-        "procedimiento": _field(title_cased(a["procedimiento"]), "Anexo I apdo. 1"),
+#: Groups of the anchors that are used besides the first.
+_GROUPS = {"iva": (1, 2), "plazo_garantia": (1, 2), "definitiva": (0,), "seguros": (0,), "definitiva_prosa": (0, 2, 3)}
+_INNER = {"definitiva": ("procede", "importe", "retencion"), "seguros": ("civil", "todo_riesgo", "franquicia")}
+_SCANNED = {"plazo_ejecucion": "duration", "valor_estimado": "money", "presupuesto": "money", "plazo_garantia": "duration"}
+
+
+def _once(rows: DataFrame, columns: dict[str, Column], *keep: str) -> DataFrame:
+    """`rows` with columns that are worked out once: an outer generator keeps Catalyst from folding them into what uses them."""
+    return rows.select(*keep, F.inline_outer(F.array(F.struct(*(c.alias(name) for name, c in columns.items())))))
+
+
+def fields(documents: DataFrame, text: str = "text") -> DataFrame:
+    """(doc_id, field, value, reference, confidence): a row for each field that a rule finds. Each pattern is read once for each text."""
+    t = F.col(text)
+    outer = {f"{name}_{g}": F.nullif(squeezed(F.regexp_extract(t, java(pattern), g)), F.lit("")) for name, pattern in ANCHORS.items() if not any(name in inner for inner in _INNER.values()) and name not in ("definitiva_guarda", "clasificacion") for g in _GROUPS.get(name, (1,))}
+    outer |= {f"{name}_0": F.nullif(F.regexp_extract(t, java(ANCHORS[name]), 0), F.lit("")) for name in ("definitiva", "seguros", "definitiva_prosa")}
+    outer["objeto_titulo_1"] = taken(t, OBJECT_HEADING, case=True)
+    outer |= {f"clase_{g}": F.regexp_extract_all(t, F.lit(java(ANCHORS["clasificacion"])), F.lit(g)) for g in (1, 2, 3)}
+    outer |= {f"label_{label}_{k}": _context(t, words, kind) for label, kind in _SCANNED.items() for k, words in enumerate(LABELS[label])}
+    rows = _once(documents, outer, "doc_id")
+    inner = {f"{name}_1": taken(F.col(f"{block}_0"), ANCHORS[name]) for block, names in _INNER.items() for name in names}
+    inner |= {f"scan_{label}": F.coalesce(*(_shown(F.col(f"label_{label}_{k}"), kind) for k in range(len(LABELS[label]))), F.lit(None).cast("string")) for label, kind in _SCANNED.items()}
+    rows = _once(rows, inner, *rows.columns)
+
+    a = lambda name, group=1: F.col(f"{name}_{group}")
+    amount = lambda name: F.concat(a(name), F.lit(" €"))
+    scan = lambda label: F.col(f"scan_{label}")
+    told = lambda name: F.when(a(name).isNotNull(), _yes(a(name)))
+    kind = F.coalesce(a("tipo_administrativo"), a("tipo_calificacion"), a("tipo_contrato"))
+    parts = _joined(F.concat(F.lit("Procede: "), told("procede")), F.concat(F.lit("Importe: "), a("importe")), F.concat(F.lit("Retención en el precio: "), told("retencion")))
+    basis = F.regexp_replace(F.regexp_replace(F.coalesce(a("definitiva_prosa", 3), F.lit("")), r" \d{1,3}$", ""), r"\.$", "")
+    loose = F.when(~a("definitiva_prosa", 0).rlike(java(ANCHORS["definitiva_guarda"])), F.rtrim(F.concat(a("definitiva_prosa", 2), F.lit("% "), basis)))
+    policies = _joined(F.concat(F.lit("RC Construcción: "), a("civil"), F.lit(" € por siniestro y año")), F.concat(F.lit("TR Construcción: "), a("todo_riesgo"), F.lit(" €")), F.concat(F.lit("Franquicia admisible: "), told("franquicia")))
+    zipped = F.arrays_zip(*(F.col(f"clase_{g}").alias(n) for g, n in zip((1, 2, 3), "gsc", strict=True)))
+    classes = F.transform(zipped, lambda x: F.concat(F.lit("Grupo "), x["g"], F.lit(", Subgrupo "), x["s"], F.lit(", Categoría "), x["c"]))
+    found = {
+        "organo_contratacion": _field(a("organo"), "Anexo I apdo. 2"),
+        "objeto_contrato": F.coalesce(_field(a("objeto"), "Anexo I apdo. 4"), _field(a("objeto_titulo"), "Pliego (objeto del contrato)", False)),
+        "procedimiento": _field(title_cased(a("procedimiento")), "Anexo I apdo. 1"),
         "tipo_contrato": _field(title_cased(kind), "Anexo I apdo. 1"),
-        "tramitacion": F.coalesce(_field(title_cased(a["tramitacion"]), "Anexo I apdo. 3"), _field(title_cased(a["tramitacion_prosa"]), "Pliego (tramitación)", False)),
-        "plazo_ejecucion": F.coalesce(_field(F.upper(F.coalesce(a["plazo_ejecucion"], a["plazo_duracion"])), "Anexo I apdo. 8"), _field(labelled(text, LABELS["plazo_ejecucion"], "duration"), "Pliego (plazo de ejecución)", False)),
-        "valor_estimado_contrato": F.coalesce(_field(amount("valor_estimado"), "Anexo I apdo. 10 (Valor estimado)"), _field(labelled(text, LABELS["valor_estimado"], "money"), "Pliego (valor estimado)", False)),
+        "tramitacion": F.coalesce(_field(title_cased(a("tramitacion")), "Anexo I apdo. 3"), _field(title_cased(a("tramitacion_prosa")), "Pliego (tramitación)", False)),
+        "plazo_ejecucion": F.coalesce(_field(F.upper(F.coalesce(a("plazo_ejecucion"), a("plazo_duracion"))), "Anexo I apdo. 8"), _field(scan("plazo_ejecucion"), "Pliego (plazo de ejecución)", False)),
+        "valor_estimado_contrato": F.coalesce(_field(amount("valor_estimado"), "Anexo I apdo. 10 (Valor estimado)"), _field(scan("valor_estimado"), "Pliego (valor estimado)", False)),
         "presupuesto_base_sin_iva": _field(amount("base_imponible"), "Anexo I apdo. 10 (Base imponible)"),
-        "presupuesto_base_con_iva": F.coalesce(_field(amount("total"), "Anexo I apdo. 10 (TOTAL con IVA)"), _field(labelled(text, LABELS["presupuesto"], "money"), "Pliego (presupuesto base de licitación)", False)),
-        "iva": _field(F.concat(a["iva"], F.lit("% ("), taken(text, ANCHORS["iva"], 2), F.lit(" €)")), "Anexo I apdo. 10 (IVA)"),
-        "garantia_provisional": _field(F.when(a["provisional"].isNotNull(), F.when(_yes(a["provisional"]) == "NO", "No procede").otherwise("Procede: SI")), "Anexo I apdo. 20"),
-        "garantia_definitiva": F.when(definitiva.isNotNull(), _field(parts, "Anexo I apdo. 22")).otherwise(_field(loose, "Pliego (garantía definitiva)", False)),
+        "presupuesto_base_con_iva": F.coalesce(_field(amount("total"), "Anexo I apdo. 10 (TOTAL con IVA)"), _field(scan("presupuesto"), "Pliego (presupuesto base de licitación)", False)),
+        "iva": _field(F.concat(a("iva"), F.lit("% ("), a("iva", 2), F.lit(" €)")), "Anexo I apdo. 10 (IVA)"),
+        "garantia_provisional": _field(F.when(told("provisional") == "NO", "No procede").when(told("provisional") == "SI", "Procede: SI"), "Anexo I apdo. 20"),
+        "garantia_definitiva": F.when(a("definitiva", 0).isNotNull(), _field(parts, "Anexo I apdo. 22")).otherwise(_field(loose, "Pliego (garantía definitiva)", False)),
         "seguros_obligatorios": _field(policies, "Anexo I apdo. 24"),
-        "plazo_garantia": F.coalesce(_field(F.upper(warranty), F.coalesce(F.concat(F.lit("Anexo I apdo. "), numbered), F.lit("Anexo I (plazo de garantía)"))), _field(labelled(text, LABELS["plazo_garantia"], "duration"), "Pliego (plazo de garantía)", False)),
-        "presentacion_electronica": _field(a["electronica"], "Anexo I apdo. 33"),
-        "solvencia_economica": _field(F.concat(F.lit("Volumen anual de negocios ≥ "), a["economica"], F.lit(" €")), "Anexo I apdo. 14"),
-        "solvencia_tecnica": _field(F.concat(F.lit("Importe anual acumulado en obras del mismo tipo ≥ "), a["tecnica"], F.lit(" € (10 últimos años)")), "Anexo I apdo. 14"),
+        "plazo_garantia": F.coalesce(_field(F.upper(a("plazo_garantia", 2)), F.coalesce(F.concat(F.lit("Anexo I apdo. "), a("plazo_garantia")), F.lit("Anexo I (plazo de garantía)"))), _field(scan("plazo_garantia"), "Pliego (plazo de garantía)", False)),
+        "presentacion_electronica": _field(a("electronica"), "Anexo I apdo. 33"),
+        "solvencia_economica": _field(F.concat(F.lit("Volumen anual de negocios ≥ "), a("economica"), F.lit(" €")), "Anexo I apdo. 14"),
+        "solvencia_tecnica": _field(F.concat(F.lit("Importe anual acumulado en obras del mismo tipo ≥ "), a("tecnica"), F.lit(" € (10 últimos años)")), "Anexo I apdo. 14"),
         "clasificacion_empresarial": _field(F.nullif(F.array_join(F.array_distinct(classes), " + "), F.lit("")), "Anexo I apdo. 14"),
     }
+    each = F.array(*(F.struct(F.lit(field).alias("field"), value.alias("r")) for field, value in found.items()))
+    return rows.select("doc_id", F.inline_outer(each)).filter("r is not null").select("doc_id", "field", "r.*")
 
 
 # What an obligation is about, and the clause that usually holds it.

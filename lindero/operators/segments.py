@@ -117,12 +117,17 @@ def with_head_and_annex(documents: DataFrame, text: str = "text", to: str = "cho
     return rows.select(*documents.columns, F.when(fits, F.col("_focus")).otherwise(t).alias(to))
 
 
-def cue_spots(text: Column, cues: dict[str, tuple[str, ...]] | None = None, most: int | None = MAX_HITS) -> Column:
-    """ARRAY of (field, cue_no, hit_no, start, end): the first hits of each cue, all cues from one reading of the row."""
+def small(text: Column) -> Column:
+    """A text in small letters, of the same length: patterns in small letters are read faster on it than with case ignored."""
+    return F.lower(F.translate(text, "İ", "I"))
+
+
+def cue_spots(low: Column, cues: dict[str, tuple[str, ...]] | None = None, most: int | None = MAX_HITS) -> Column:
+    """ARRAY of (field, cue_no, hit_no, start, end): the first hits of each cue in a text in small letters (a column of the row), all cues from one reading of it."""
     parts = []
     for field, patterns in (CUES if cues is None else cues).items():
         for number, pattern in enumerate(patterns, 1):
-            found = spots(text, java(pattern))
+            found = spots(low, java(pattern.lower(), case=True))
             parts.append(_named(F.slice(found, 1, most) if most else found, field, number))
     return F.concat(*parts) if len(parts) > 1 else parts[0]
 
@@ -166,7 +171,8 @@ def passages(text: Column, spans: Column, cap: int = CONTROL_CAP) -> Column:
 
 def with_islands(documents: DataFrame, text: str = "text", around: int = WINDOW) -> DataFrame:
     """`documents` with `spans`: the windows around the first hits of all cues, those that overlap or touch made one."""
-    rows = documents.withColumn("_hits", cue_spots(F.col(text)))
+    rows = documents.withColumn("_low", small(F.col(text)))
+    rows = rows.withColumn("_hits", cue_spots(F.col("_low")))
     rows = rows.withColumn("_windows", windows(F.col("_hits"), F.length(text), around))
     return rows.select(*documents.columns, islands(F.col("_windows")).alias("spans"))
 

@@ -127,7 +127,7 @@ _HITS = spots_sql(f"select doc_id, text, field, cue_no, pattern from documents c
 @query(f"select doc_id, field, cue_no, k::integer as hit_no, start_pos, stop_pos as end_pos from ({_HITS}) where k <= 3")
 def passage_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first three hits of each cue of the 22 fields in each text."""
-    hits = unfolded(_documents(spark, sf_dir), S.cue_spots(F.col("text")), "field")
+    hits = unfolded(_documents(spark, sf_dir).select("doc_id", S.small(F.col("text")).alias("low")), S.cue_spots(F.col("low")), "field")
     return hits.select("doc_id", "field", "cue_no", "hit_no", F.col("start").alias("start_pos"), F.col("end").alias("end_pos"))
 
 
@@ -231,21 +231,16 @@ def _fields_sql(rows: str) -> str:
     return f"with c as ({rows}) select doc_id, field, arg_min(value, nth) as value, arg_min(reference, nth) as reference, arg_min(confidence, nth) as confidence from ({' union all '.join(parts)}) where value is not null group by doc_id, field"
 
 
-def _fields(rows: DataFrame) -> DataFrame:
-    named = F.array(*(F.struct(F.lit(field).alias("field"), value.alias("r")) for field, value in E.fields(F.col("text")).items()))
-    return unfolded(rows, named, "r").select("doc_id", "field", "r.*")
-
-
 @query(_fields_sql(CARRIER_SQL))
 def extracted_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All 18 fields of texts in the layouts that the rules are for, with place and confidence; one scan."""
-    return _fields(carrier(spark, sf_dir))
+    return E.fields(carrier(spark, sf_dir))
 
 
 @query(_fields_sql("select doc_id, text from documents where text is not null"))
 def document_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same rules over the documents."""
-    return _fields(_documents(spark, sf_dir))
+    return E.fields(_documents(spark, sf_dir))
 
 
 _SCANNED = {"value": ("valor_estimado", "money"), "budget": ("presupuesto", "money"), "plazo_ejecucion": ("plazo_ejecucion", "duration"), "plazo_garantia": ("plazo_garantia", "duration"), "garantia_definitiva": ("garantia_definitiva", "percent")}
