@@ -125,26 +125,26 @@ def reliability_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.join(places, base["arm"].eqNullSafe(places["arm"])).select(base["arm"], "calls", "mean", "median", "most", "p90")
 
 
+# Prices of a million tokens in and out, and the rate of the second currency.
+PRICES, RATE = (0.30, 2.50), 0.92
 _USAGE = "struct<call:struct<retries:bigint,finish_reason:string,usage:struct<promptTokenCount:bigint,candidatesTokenCount:bigint>>>"
 
 
 @query(
-    f"""select arm, count(p) as calls, sum(p)::bigint as prompt, sum(o)::bigint as output, round(sum(p) / 1e6 * 0.30 + sum(o) / 1e6 * 2.50, 6) as charge, round((sum(p) / 1e6 * 0.30 + sum(o) / 1e6 * 2.50) / count(p), 6) as per_call, sum(r)::bigint as retries,
+    f"""select arm, count(p) as calls, sum(p)::bigint as prompt, sum(o)::bigint as output, round(sum(p) / 1e6 * {PRICES[0]} + sum(o) / 1e6 * {PRICES[1]}, 6) as charge, round((sum(p) / 1e6 * {PRICES[0]} + sum(o) / 1e6 * {PRICES[1]}) / count(p), 6) as per_call, sum(r)::bigint as retries,
   count(*) filter (where f = 'MAX_TOKENS') as truncated from (select arm, cast(json_extract(body, '$.call.usage.promptTokenCount') as bigint) as p, cast(json_extract(body, '$.call.usage.candidatesTokenCount') as bigint) as o, cast(json_extract(body, '$.call.retries') as bigint) as r, json_extract_string(body, '$.call.finish_reason') as f from ({_CALLS})) group by arm"""
 )
 def cost_per_arm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens and charge by arm; calls without usage aren't counted."""
     rows = _calls(spark, sf_dir).select("arm", F.from_json("body", _USAGE)["call"].alias("c"))
     prompt, output = F.sum("c.usage.promptTokenCount"), F.sum("c.usage.candidatesTokenCount")
-    charge = prompt / 1e6 * 0.30 + output / 1e6 * 2.50
+    charge = prompt / 1e6 * PRICES[0] + output / 1e6 * PRICES[1]
     calls = F.count("c.usage.promptTokenCount")
     return rows.groupBy("arm").agg(
         calls.alias("calls"), prompt.alias("prompt"), output.alias("output"), F.round(charge, 6).alias("charge"), F.round(charge / calls, 6).alias("per_call"), F.sum("c.retries").alias("retries"), F.count(F.when(F.col("c.finish_reason") == "MAX_TOKENS", 1)).alias("truncated")
     )
 
 
-# Prices of a million tokens in and out, and the rate of the second currency.
-PRICES, RATE = (0.30, 2.50), 0.92
 _TOKENS = f"select arm, cast(json_extract(body, '$.call.usage.promptTokenCount') as bigint) as p, cast(json_extract(body, '$.call.usage.candidatesTokenCount') as bigint) as o from ({_CALLS})"
 
 

@@ -3,6 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from lindero.functions import text as X
+from lindero.operators import extraction as E
 from lindero.operators import passages as P
 from lindero.plans import tables, texts
 
@@ -94,11 +95,11 @@ def test_labels_within_contexts(spark):
         "El valor estimado sea inferior a 100 €; el valor estimado es de 5.000,50 euros": "5.000,50 €", "valor estimado: véase. Valor estimado: 7 €": "7 €", "valor estimado 9 Euros": "9 €", "valor estimado 9\u00a0€": "9 €", "valor estimado 9 europeos": None,
         "valor estimado" + " x" * 36 + " 1 €": None, "valor estimado para mayores: 1 €": "1 €", "valor estimado, por ejemplo, 1 €": None, "": None, None: None,
     }
-    assert column(spark, list(money), lambda c: texts.labeled_value(c, ("valor estimado",), "money")) == list(money.values())
+    assert column(spark, list(money), lambda c: E.labelled(c, ("valor estimado",), "money")) == list(money.values())
     terms = {"Plazo de ejecución: como mínimo 2 meses. El plazo de ejecucion es de 10 días naturales": "10 DÍAS", "duración del contrato: 2 años; plazo de duración: un mes, 3 Semanas": "3 SEMANAS", "plazo de ejecución 3 mesetas": None}
-    assert column(spark, list(terms), lambda c: texts.labeled_value(c, texts._EXECUTION, "duration")) == list(terms.values())
+    assert column(spark, list(terms), lambda c: E.labelled(c, E.LABELS["plazo_ejecucion"], "duration")) == list(terms.values())
     shares = {"Garantía definitiva superior al 3 %. La garantía definitiva será del 5 % del precio": "5%", "garantía definitiva: 5": None}
-    assert column(spark, list(shares), lambda c: texts.labeled_value(c, texts._GUARANTEE, "percent")) == list(shares.values())
+    assert column(spark, list(shares), lambda c: E.labelled(c, E.LABELS["garantia_definitiva"], "percent")) == list(shares.values())
 
 
 def test_inclusion_in_the_whole_source(spark, tmp_path):
