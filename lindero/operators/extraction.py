@@ -7,6 +7,8 @@ from one scan, and a text that a rule doesn't fit gives null without failing the
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -124,49 +126,90 @@ def _once(rows: DataFrame, columns: dict[str, Column], *keep: str) -> DataFrame:
     return rows.select(*keep, F.inline_outer(F.array(F.struct(*(c.alias(name) for name, c in columns.items())))))
 
 
+#: For each anchor, a literal without which it can't match, in small letters; a text that lacks it isn't matched at all. Anchors that begin with theirs are read from its first place on.
+NEEDED = {
+    "procedimiento": "procedimiento", "tipo_administrativo": "contrato", "tipo_calificacion": "calificaci", "tipo_contrato": "contrato", "tramitacion": "tramitaci", "tramitacion_prosa": "tramitaci", "plazo_ejecucion": "plazo", "plazo_duracion": "duraci",
+    "valor_estimado": "total", "base_imponible": "total", "iva": "importe", "total": "importe", "provisional": "provisional", "definitiva": "definitiva", "definitiva_prosa": "garant", "seguros": "lizas", "plazo_garantia": "plazo", "electronica": "electr",
+    "objeto": "objeto", "objeto_titulo": "objeto", "organo": "rgano", "economica": "volumen", "tecnica": "70", "clasificacion": "grupo",
+}
+_FROM_THERE = frozenset(("procedimiento", "tipo_administrativo", "tipo_calificacion", "tipo_contrato", "tramitacion_prosa", "plazo_ejecucion", "plazo_duracion", "valor_estimado", "base_imponible", "iva", "total", "definitiva_prosa", "economica", "tecnica", "clasificacion"))
+
+
+def _small(text: Column) -> Column:
+    """A text of the same length in small letters, with those beyond ASCII that case folding takes for an ASCII letter made that letter."""
+    return F.lower(F.translate(text, "İıſ\u212a", "iisk"))
+
+
+def _literal(label: str) -> str:
+    """What a label begins with, up to its first class."""
+    return label.split("[")[0]
+
+
 def fields(documents: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, field, value, reference, confidence): a row for each field that a rule finds. Each pattern is read once for each text."""
+    """(doc_id, field, value, reference, confidence): a row for each field that a rule finds. Each pattern is read once for each text that holds its literal, and generic readings only where the exact one found nothing."""
     t = F.col(text)
-    outer = {f"{name}_{g}": F.nullif(squeezed(F.regexp_extract(t, java(pattern), g)), F.lit("")) for name, pattern in ANCHORS.items() if not any(name in inner for inner in _INNER.values()) and name not in ("definitiva_guarda", "clasificacion") for g in _GROUPS.get(name, (1,))}
-    outer |= {f"{name}_0": F.nullif(F.regexp_extract(t, java(ANCHORS[name]), 0), F.lit("")) for name in ("definitiva", "seguros", "definitiva_prosa")}
-    outer["objeto_titulo_1"] = taken(t, OBJECT_HEADING, case=True)
-    outer |= {f"clase_{g}": F.regexp_extract_all(t, F.lit(java(ANCHORS["clasificacion"])), F.lit(g)) for g in (1, 2, 3)}
-    outer |= {f"label_{label}_{k}": _context(t, words, kind) for label, kind in _SCANNED.items() for k, words in enumerate(LABELS[label])}
-    rows = _once(documents, outer, "doc_id")
-    inner = {f"{name}_1": taken(F.col(f"{block}_0"), ANCHORS[name]) for block, names in _INNER.items() for name in names}
-    inner |= {f"scan_{label}": F.coalesce(*(_shown(F.col(f"label_{label}_{k}"), kind) for k in range(len(LABELS[label]))), F.lit(None).cast("string")) for label, kind in _SCANNED.items()}
-    rows = _once(rows, inner, *rows.columns)
+    at = {literal: f"_at_{k}" for k, literal in enumerate(sorted({*NEEDED.values(), *(_literal(w) for label in _SCANNED for w in LABELS[label])}))}
+    rows = _once(documents, {"_low": _small(t)}, "doc_id", text)
+    rows = _once(rows, {name: F.instr(F.col("_low"), F.lit(literal)) for literal, name in at.items()}, "doc_id", text)
+
+    def read(name: str, get: Callable[[Column], Column]) -> Column:
+        place = F.col(at[NEEDED[name]])
+        return F.when(place > 0, get(F.substring(t, place, F.length(t)) if name in _FROM_THERE else t))
+
+    def raw(name: str, g: int = 1, pattern: str | None = None) -> Column:
+        return read(name, lambda c: F.regexp_extract(c, pattern or java(ANCHORS[name]), g))
+
+    def context(label: str, kind: str) -> Column:
+        return F.coalesce(*(F.when(F.col(at[_literal(w)]) > 0, _context(F.substring(t, F.col(at[_literal(w)]), F.length(t)), w, kind)) for w in LABELS[label]))
+
+    got = lambda c: F.nullif(squeezed(c), F.lit(""))
+    without = lambda name, c: F.when(got(F.col(name)).isNull(), c)
+    first = ("organo", "objeto", "procedimiento", "tipo_administrativo", "tramitacion", "plazo_ejecucion", "valor_estimado", "base_imponible", "total", "iva", "provisional", "definitiva", "seguros", "plazo_garantia", "electronica", "economica", "tecnica")
+    outer = {f"{name}_{g}": raw(name, g) for name in first for g in _GROUPS.get(name, (1,))}
+    outer |= {f"clase_{g}": read("clasificacion", lambda c, g=g: F.regexp_extract_all(c, F.lit(java(ANCHORS["clasificacion"])), F.lit(g))) for g in (1, 2, 3)}
+    rows = _once(rows, outer, "doc_id", text, *at.values())
+    inner = {f"{name}_1": F.regexp_extract(f"{block}_0", java(ANCHORS[name]), 1) for block, names in _INNER.items() for name in names}
+    inner |= {"tipo_calificacion_1": without("tipo_administrativo_1", raw("tipo_calificacion")), "tipo_contrato_1": without("tipo_administrativo_1", raw("tipo_contrato")), "tramitacion_prosa_1": without("tramitacion_1", raw("tramitacion_prosa")), "plazo_duracion_1": without("plazo_ejecucion_1", raw("plazo_duracion"))}
+    inner |= {"objeto_titulo_1": without("objeto_1", raw("objeto_titulo", 1, java(OBJECT_HEADING, case=True))), "definitiva_prosa_0": without("definitiva_0", raw("definitiva_prosa", 0))}
+    exact = {"plazo_ejecucion": "plazo_ejecucion_1", "valor_estimado": "valor_estimado_1", "presupuesto": "total_1", "plazo_garantia": "plazo_garantia_2"}
+    inner |= {f"label_{label}": without(exact[label], context(label, kind)) for label, kind in _SCANNED.items()}
+    rows = _once(rows, inner, "doc_id", *outer)
+    clean = {name: got(F.col(name)) for name in (*outer, *inner) if not name.startswith(("clase_", "label_", "definitiva_prosa_"))} | {f"clase_{g}": F.col(f"clase_{g}") for g in (1, 2, 3)}
+    clean |= {f"definitiva_prosa_{g}": F.nullif("definitiva_prosa_0", F.lit("")) if g == 0 else taken(F.col("definitiva_prosa_0"), ANCHORS["definitiva_prosa"], g) for g in _GROUPS["definitiva_prosa"]}
+    clean |= {f"scan_{label}": _shown(F.col(f"label_{label}"), kind) for label, kind in _SCANNED.items()}
+    rows = _once(rows, clean, "doc_id")
 
     a = lambda name, group=1: F.col(f"{name}_{group}")
     amount = lambda name: F.concat(a(name), F.lit(" €"))
     scan = lambda label: F.col(f"scan_{label}")
     told = lambda name: F.when(a(name).isNotNull(), _yes(a(name)))
-    kind = F.coalesce(a("tipo_administrativo"), a("tipo_calificacion"), a("tipo_contrato"))
     parts = _joined(F.concat(F.lit("Procede: "), told("procede")), F.concat(F.lit("Importe: "), a("importe")), F.concat(F.lit("Retención en el precio: "), told("retencion")))
     basis = F.regexp_replace(F.regexp_replace(F.coalesce(a("definitiva_prosa", 3), F.lit("")), r" \d{1,3}$", ""), r"\.$", "")
     loose = F.when(~a("definitiva_prosa", 0).rlike(java(ANCHORS["definitiva_guarda"])), F.rtrim(F.concat(a("definitiva_prosa", 2), F.lit("% "), basis)))
     policies = _joined(F.concat(F.lit("RC Construcción: "), a("civil"), F.lit(" € por siniestro y año")), F.concat(F.lit("TR Construcción: "), a("todo_riesgo"), F.lit(" €")), F.concat(F.lit("Franquicia admisible: "), told("franquicia")))
     zipped = F.arrays_zip(*(F.col(f"clase_{g}").alias(n) for g, n in zip((1, 2, 3), "gsc", strict=True)))
     classes = F.transform(zipped, lambda x: F.concat(F.lit("Grupo "), x["g"], F.lit(", Subgrupo "), x["s"], F.lit(", Categoría "), x["c"]))
+    made = {"procedure": title_cased(a("procedimiento")), "kind": title_cased(F.coalesce(a("tipo_administrativo"), a("tipo_calificacion"), a("tipo_contrato"))), "course": title_cased(a("tramitacion")), "course_told": title_cased(a("tramitacion_prosa")), "parts": parts, "loose": loose, "policies": policies, "classes": F.array_join(F.array_distinct(classes), " + ")}
+    rows = _once(rows, made, "doc_id", *clean)
     found = {
         "organo_contratacion": _field(a("organo"), "Anexo I apdo. 2"),
         "objeto_contrato": F.coalesce(_field(a("objeto"), "Anexo I apdo. 4"), _field(a("objeto_titulo"), "Pliego (objeto del contrato)", False)),
-        "procedimiento": _field(title_cased(a("procedimiento")), "Anexo I apdo. 1"),
-        "tipo_contrato": _field(title_cased(kind), "Anexo I apdo. 1"),
-        "tramitacion": F.coalesce(_field(title_cased(a("tramitacion")), "Anexo I apdo. 3"), _field(title_cased(a("tramitacion_prosa")), "Pliego (tramitación)", False)),
+        "procedimiento": _field(F.col("procedure"), "Anexo I apdo. 1"),
+        "tipo_contrato": _field(F.col("kind"), "Anexo I apdo. 1"),
+        "tramitacion": F.coalesce(_field(F.col("course"), "Anexo I apdo. 3"), _field(F.col("course_told"), "Pliego (tramitación)", False)),
         "plazo_ejecucion": F.coalesce(_field(F.upper(F.coalesce(a("plazo_ejecucion"), a("plazo_duracion"))), "Anexo I apdo. 8"), _field(scan("plazo_ejecucion"), "Pliego (plazo de ejecución)", False)),
         "valor_estimado_contrato": F.coalesce(_field(amount("valor_estimado"), "Anexo I apdo. 10 (Valor estimado)"), _field(scan("valor_estimado"), "Pliego (valor estimado)", False)),
         "presupuesto_base_sin_iva": _field(amount("base_imponible"), "Anexo I apdo. 10 (Base imponible)"),
         "presupuesto_base_con_iva": F.coalesce(_field(amount("total"), "Anexo I apdo. 10 (TOTAL con IVA)"), _field(scan("presupuesto"), "Pliego (presupuesto base de licitación)", False)),
         "iva": _field(F.concat(a("iva"), F.lit("% ("), a("iva", 2), F.lit(" €)")), "Anexo I apdo. 10 (IVA)"),
         "garantia_provisional": _field(F.when(told("provisional") == "NO", "No procede").when(told("provisional") == "SI", "Procede: SI"), "Anexo I apdo. 20"),
-        "garantia_definitiva": F.when(a("definitiva", 0).isNotNull(), _field(parts, "Anexo I apdo. 22")).otherwise(_field(loose, "Pliego (garantía definitiva)", False)),
-        "seguros_obligatorios": _field(policies, "Anexo I apdo. 24"),
+        "garantia_definitiva": F.when(a("definitiva", 0).isNotNull(), _field(F.col("parts"), "Anexo I apdo. 22")).otherwise(_field(F.col("loose"), "Pliego (garantía definitiva)", False)),
+        "seguros_obligatorios": _field(F.col("policies"), "Anexo I apdo. 24"),
         "plazo_garantia": F.coalesce(_field(F.upper(a("plazo_garantia", 2)), F.coalesce(F.concat(F.lit("Anexo I apdo. "), a("plazo_garantia")), F.lit("Anexo I (plazo de garantía)"))), _field(scan("plazo_garantia"), "Pliego (plazo de garantía)", False)),
         "presentacion_electronica": _field(a("electronica"), "Anexo I apdo. 33"),
         "solvencia_economica": _field(F.concat(F.lit("Volumen anual de negocios ≥ "), a("economica"), F.lit(" €")), "Anexo I apdo. 14"),
         "solvencia_tecnica": _field(F.concat(F.lit("Importe anual acumulado en obras del mismo tipo ≥ "), a("tecnica"), F.lit(" € (10 últimos años)")), "Anexo I apdo. 14"),
-        "clasificacion_empresarial": _field(F.nullif(F.array_join(F.array_distinct(classes), " + "), F.lit("")), "Anexo I apdo. 14"),
+        "clasificacion_empresarial": _field(F.nullif(F.col("classes"), F.lit("")), "Anexo I apdo. 14"),
     }
     each = F.array(*(F.struct(F.lit(field).alias("field"), value.alias("r")) for field, value in found.items()))
     return rows.select("doc_id", F.inline_outer(each)).filter("r is not null").select("doc_id", "field", "r.*")

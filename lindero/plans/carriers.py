@@ -38,4 +38,6 @@ CARRIER_SQL = f"select o_orderkey as doc_id, {_text(lambda x: f"translate(format
 def carrier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, text)."""
     text = _text(lambda x: f"translate(format_number({x}, 2), ',.', '.,')")
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.expr(text).alias("text"))
+    # a file of one row group is one task: keys and prices are dealt out before they become texts
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "o_orderkey")
+    return rows.select(F.col("o_orderkey").alias("doc_id"), F.expr(text).alias("text"))

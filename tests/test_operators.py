@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lindero.operators import evidence as V
+from lindero.operators import extraction
 from lindero.operators import passages as P
 from lindero.operators import segments as S
 from lindero.operators import verification as W
@@ -143,3 +144,11 @@ def test_answers_of_odd_shapes(spark, tmp_path):
     assert flat == {(0, "organo_contratacion"): ("Junta", "Cláusula 2"), (0, "tramitacion"): ("Sí", None), (1, "plazo_ejecucion"): ("12", None)}
     assert {(r.doc_id, r.field): r.value for r in runs.answer_nested(spark, str(tmp_path)).collect()} == {(0, "objeto_contrato"): "obra; puente", (0, "iva"): "21 %"}
     assert {r.doc_id: r.filled for r in runs.answer_filled(spark, str(tmp_path)).collect()} == {0: True, 1: True, 6: False}
+
+
+def test_extraction_is_dealt_out_and_reads_odd_letters(spark):
+    # one row group of orders was one task
+    assert segments.extracted_fields(spark, DIR).rdd.getNumPartitions() == 4
+    rows = [(1, "PREſUPUEſTO BAſE DE LıCİTACıÓN: 1.000,00 €"), (2, "Grupo: C) Subgrupo: 1 Categoría: 3 GRUPO: C) SUBGRUPO: 1 CATEGORÍA: 3"), (3, None), (4, ""), (5, "4) OBJETO DEL CONTRATO       . 5) OBJETO DEL CONTRATO. PUENTE SOBRE EL RÍO. "), (6, "contrato CONTRATO DE OBRAS PROCEDIMIENTO ABIERTO")]
+    out = {(r.doc_id, r.field): r.value for r in extraction.fields(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {(1, "presupuesto_base_con_iva"): "1.000,00 €", (2, "clasificacion_empresarial"): "Grupo C, Subgrupo 1, Categoría 3", (5, "objeto_contrato"): "PUENTE SOBRE EL RÍO", (6, "tipo_contrato"): "Obras", (6, "procedimiento"): "Abierto"}
