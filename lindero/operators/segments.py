@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lindero.functions.text import spots, squeezed
-from lindero.operators.extraction import java
+from lindero.operators.extraction import _once, java
 
 # Headings by family (marker, title), in the notation of JavaScript.
 FAMILIES = {
@@ -46,6 +46,8 @@ CUES = {
 WINDOW, MAX_HITS = 1500, 3
 CONTROL_CAP, FULLTEXT_CAP, HEAD = 120_000, 900_000, 12_000
 GAP = "\n\n[…]\n\n"
+#: The signs that a blank of these patterns may be.
+BLANK_SIGNS = " \t\n\x0b\f\r\u00a0\ufeff"
 
 
 def part(text: Column, start: Column, end: Column) -> Column:
@@ -108,13 +110,24 @@ def item_body(items: Column, *numbers: str) -> Column:
 
 def with_head_and_annex(documents: DataFrame, text: str = "text", to: str = "chosen") -> DataFrame:
     """The head and the last first annex; the whole text unless that is at least 8,000 characters and less than four fifths of it."""
-    t, start = F.col(text), F.col("_start")
-    rows = documents.withColumn("_start", F.get(F.reverse(F.transform(spots(t, java(r"(?:^|\n)\s*ANEXO\s+I\b", case=True)), lambda h: h["start"])), F.lit(0)))
+    t, start, parts, last = F.col(text), F.col("_start"), F.col("_parts"), F.col("_last")
+    keep = documents.columns
+    # long texts are read as seldom as can be: a literal finds ANEXO, and only what stands before and behind it is matched; each step is worked out once
+    rows = _once(documents, {"_parts": F.when(F.contains(t, F.lit("ANEXO")), F.split(t, "ANEXO", -1))}, *keep)
+    behind = lambda k: F.concat(F.get(parts, k + 1), F.when(k + 2 < F.size(parts), "A").otherwise(""))
+    opening = lambda p, k: F.when((k == 0) & (F.ltrim(p, F.lit(BLANK_SIGNS)) == ""), p).otherwise(F.regexp_extract(p, java(r"\n\s*\z", case=True), 0))
+    openings = F.transform(parts, lambda p, k: F.when(behind(k).rlike(java(r"^\s+I\b", case=True)), opening(p, k)))
+    rows = _once(rows, {"_openings": openings, "_sizes": F.transform(parts, F.length)}, *keep)
+    headed = lambda o, k: (o != "") | o.isNotNull() & (k == 0) & (F.get(F.col("_sizes"), F.lit(0)) == 0)
+    rows = _once(rows, {"_last": F.array_max(F.transform("_openings", lambda o, k: F.when(headed(o, k), k)))}, *keep, "_openings", "_sizes")
+    before = F.aggregate(F.slice("_sizes", 1, last + 1), F.lit(0), lambda n, size: n + size)
+    rows = _once(rows, {"_start": before + last * len("ANEXO") - F.length(F.get("_openings", last))}, *keep)
     after = F.regexp_instr(F.substring(t, start + 11, F.length(t)), F.lit(java(r"(?:^|\n)\s*ANEXO\s+(?:II|III|IV|V|VI|VII|VIII|IX|X)\b", case=True)))
-    rows = rows.withColumn("_end", F.when(after > 0, start + 10 + after - 1).otherwise(F.least(F.length(t), start + CONTROL_CAP)))
-    rows = rows.withColumn("_focus", F.concat(part(t, F.lit(0), F.least(F.lit(HEAD), start)), F.lit(GAP), part(t, start, F.col("_end"))))
+    rows = _once(rows, {"_after": after}, *keep, "_start")
+    end = F.when(F.col("_after") > 0, start + 10 + F.col("_after") - 1).otherwise(F.least(F.length(t), start + CONTROL_CAP))
+    rows = _once(rows, {"_focus": F.concat(part(t, F.lit(0), F.least(F.lit(HEAD), start)), F.lit(GAP), part(t, start, end))}, *keep)
     fits = (F.length("_focus") >= 8000) & (F.length("_focus") < F.length(t) * 0.8)
-    return rows.select(*documents.columns, F.when(fits, F.col("_focus")).otherwise(t).alias(to))
+    return rows.select(*keep, F.when(fits, F.col("_focus")).otherwise(t).alias(to))
 
 
 def small(text: Column) -> Column:

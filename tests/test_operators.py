@@ -1,6 +1,7 @@
 """Operators of the engine's core on odd input, and against brute force."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -152,3 +153,24 @@ def test_extraction_is_dealt_out_and_reads_odd_letters(spark):
     rows = [(1, "PREſUPUEſTO BAſE DE LıCİTACıÓN: 1.000,00 €"), (2, "Grupo: C) Subgrupo: 1 Categoría: 3 GRUPO: C) SUBGRUPO: 1 CATEGORÍA: 3"), (3, None), (4, ""), (5, "4) OBJETO DEL CONTRATO       . 5) OBJETO DEL CONTRATO. PUENTE SOBRE EL RÍO. "), (6, "contrato CONTRATO DE OBRAS PROCEDIMIENTO ABIERTO")]
     out = {(r.doc_id, r.field): r.value for r in extraction.fields(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert out == {(1, "presupuesto_base_con_iva"): "1.000,00 €", (2, "clasificacion_empresarial"): "Grupo C, Subgrupo 1, Categoría 3", (5, "objeto_contrato"): "PUENTE SOBRE EL RÍO", (6, "tipo_contrato"): "Obras", (6, "procedimiento"): "Abierto"}
+
+
+def test_head_and_annex_of_odd_texts(spark):
+    # one row group of orders was one task
+    assert segments.head_and_annex(spark, DIR).rdd.getNumPartitions() == 4
+    heading, end = re.compile(r"(?:\A|\n)[\s﻿]*ANEXO[\s﻿]+I\b"), re.compile(r"(?:\A|\n)[\s﻿]*ANEXO[\s﻿]+(?:II|III|IV|V|VI|VII|VIII|IX|X)\b")
+    odd = ["ANEXO I", "\n ANEXO I x", "x ANEXO I", "\n\n ANEXO\n\nI\n ANEXO I", "\nANEXO IANEXO I", "\nANEXO I\nANEXO  I.", "\nANEXO II\nANEXO VI", "ñ\n\nANEXO I b" + "b" * 9000 + "\nANEXO II c", "\nANEXO I\nANEXO", "\n\nANEXO ANEXO I"]
+    texts = [front + o + "w" * size for o in odd for front in ("", "  ", "z" * 60_000) for size in (0, 9_000)]
+    want = []
+    for t in texts:
+        starts = [m.start() for m in heading.finditer(t)]
+        if not starts:
+            want.append(t)
+            continue
+        s = starts[-1]
+        m = end.search(t[s + 10 :])
+        focus = t[: min(12_000, s)] + S.GAP + t[s : s + 10 + m.start() if m else min(len(t), s + S.CONTROL_CAP)]
+        want.append(focus if 8_000 <= len(focus) < 0.8 * len(t) else t)
+    rows = [*enumerate(texts), (-1, None), (-2, "")]
+    out = {r.doc_id: r.chosen for r in S.with_head_and_annex(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == dict(enumerate(want)) | {-1: None, -2: ""} and sum(a != b for a, b in zip(want, texts)) > 5
