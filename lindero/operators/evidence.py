@@ -135,26 +135,26 @@ def validated(records: DataFrame, key: str = "document") -> DataFrame:
 BUCKETS = 4096
 
 
-def ranked(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """(keys, n, median, p90) of a measure, exactly: the median of even numbers is the middle of two, p90 the value at place int(0.9 n) of the sorted ones.
+def ranked(df: DataFrame, keys: list[str], value: str, weight: str | None = None) -> DataFrame:
+    """(keys, n, median, p90) of a measure, exactly: the median of even numbers is the middle of two, p90 the value at place int(0.9 n) of the sorted ones; a row counts `weight` times.
 
     No group is gathered or sorted whole: values are counted in BUCKETS equal parts of their group's
     range, the wanted places are found among these counts, and only the values of the buckets that
     hold them are counted one by one.
     """
-    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    span = rows.groupBy(*keys).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.count("*").alias("_n"))
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"), (F.col(weight) if weight else F.lit(1)).cast("long").alias("_w"))
+    span = rows.groupBy(*keys).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.sum("_w").alias("_n"))
     n = F.col("_n")
     wanted = {"_m1": F.floor((n + 1) / 2), "_m2": F.floor(n / 2) + 1, "_p90": F.least(n, F.floor(n * 0.9) + 1)}
     match = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
-    placed = rows.alias("a").join(span.alias("b"), match).select(*(F.col(f"a.{k}").alias(k) for k in keys), "_v", "_n", F.least(F.lit(BUCKETS - 1), F.floor(F.coalesce(F.try_divide(F.col("_v") - F.col("_low"), F.col("_high") - F.col("_low")), F.lit(0.0)) * BUCKETS)).alias("_b"))
-    counts = placed.groupBy(*keys, "_b").agg(F.count("*").alias("_c"), F.first("_n").alias("_n"))
+    placed = rows.alias("a").join(span.alias("b"), match).select(*(F.col(f"a.{k}").alias(k) for k in keys), "_v", "_w", "_n", F.least(F.lit(BUCKETS - 1), F.floor(F.coalesce(F.try_divide(F.col("_v") - F.col("_low"), F.col("_high") - F.col("_low")), F.lit(0.0)) * BUCKETS)).alias("_b"))
+    counts = placed.groupBy(*keys, "_b").agg(F.sum("_w").alias("_c"), F.first("_n").alias("_n"))
     order = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     upto = counts.withColumn("_before", F.coalesce(F.sum("_c").over(order), F.lit(0)))
     held = upto.select(*keys, "_b", "_before", "_c", F.explode(F.array(*(F.struct(F.lit(name).alias("_name"), place.alias("_place")) for name, place in wanted.items()))).alias("w")).select(*keys, "_b", "_before", "_c", "w.*")
     held = held.filter((F.col("_place") > F.col("_before")) & (F.col("_place") <= F.col("_before") + F.col("_c"))).select(*keys, "_b", "_name", (F.col("_place") - F.col("_before")).alias("_at"))
     both = [*(F.col(f"p.{k}").eqNullSafe(F.col(f"h.{k}")) for k in keys), F.col("p._b") == F.col("h._b")]
-    inside = placed.groupBy(*keys, "_b", "_v").agg(F.count("*").alias("_c")).alias("p").join(held.alias("h"), both).select(*(F.col(f"p.{k}").alias(k) for k in keys), "_v", "p._c", "_name", "_at")
+    inside = placed.groupBy(*keys, "_b", "_v").agg(F.sum("_w").alias("_c")).alias("p").join(held.alias("h"), both).select(*(F.col(f"p.{k}").alias(k) for k in keys), "_v", "p._c", "_name", "_at")
     run = F.sum("_c").over(Window.partitionBy(*keys, "_name").orderBy("_v"))
     first = inside.withColumn("_upto", run).filter(F.col("_upto") >= F.col("_at")).groupBy(*keys, "_name").agg(F.min("_v").alias("_x"))
     one = lambda name: F.max(F.when(F.col("_name") == name, F.col("_x")))

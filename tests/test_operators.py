@@ -3,6 +3,7 @@
 import random
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,7 +12,8 @@ from lindero.operators import extraction
 from lindero.operators import passages as P
 from lindero.operators import segments as S
 from lindero.operators import verification as W
-from lindero.plans import cleaning, runs, segments, texts
+from lindero.plans import cleaning, runs, segments, texts, verification
+from lindero.plans.registry import SQL
 
 DIR = "/root/testdata/sf0.001"
 
@@ -174,3 +176,21 @@ def test_head_and_annex_of_odd_texts(spark):
     rows = [*enumerate(texts), (-1, None), (-2, "")]
     out = {r.doc_id: r.chosen for r in S.with_head_and_annex(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert out == dict(enumerate(want)) | {-1: None, -2: ""} and sum(a != b for a, b in zip(want, texts)) > 5
+
+
+def test_ranks_of_weighted_rows(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice(["a", None]), rng.randint(0, 40) / 8, rng.randint(1, 9)) for _ in range(300)]
+    frame = spark.createDataFrame(rows, "k string, v double, w int")
+    plain = {(r.k, r.median, r.p90) for r in V.ranked(frame.withColumn("v", F.explode(F.array_repeat("v", F.col("w")))), ["k"], "v").collect()}
+    assert {(r.k, r.median, r.p90) for r in V.ranked(frame, ["k"], "v", "w").collect()} == plain and len(plain) == 2
+
+
+def test_amounts_without_country_are_kept(spark, tmp_path):
+    rows = [(k, 1, None if k % 2 else "A", 1234.5 + 1000 * (k % 4)) for k in range(40)] * 3
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_returnflag string, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    out = {r.country: r for r in verification.error_factor_distribution(spark, str(tmp_path)).collect()}
+    connection = duckdb.connect()
+    connection.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = {r[0]: r for r in connection.execute(SQL["error_factor_distribution"]).fetchall()}
+    assert set(out) == set(want) == {None, "A"} and all(tuple(out[k]) != () and (out[k].n, out[k].median, out[k].below_10, out[k].to_1000, out[k].above) == (want[k][1], want[k][3], *want[k][5:]) for k in want)
