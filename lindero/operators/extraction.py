@@ -135,7 +135,7 @@ NEEDED = {
 _FROM_THERE = frozenset(("procedimiento", "tipo_administrativo", "tipo_calificacion", "tipo_contrato", "tramitacion_prosa", "plazo_ejecucion", "plazo_duracion", "valor_estimado", "base_imponible", "iva", "total", "definitiva_prosa", "economica", "tecnica", "clasificacion"))
 
 
-def _small(text: Column) -> Column:
+def small(text: Column) -> Column:
     """A text of the same length in small letters, with those beyond ASCII that case folding takes for an ASCII letter made that letter."""
     return F.lower(F.translate(text, "İıſ\u212a", "iisk"))
 
@@ -149,7 +149,7 @@ def fields(documents: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, field, value, reference, confidence): a row for each field that a rule finds. Each pattern is read once for each text that holds its literal, and generic readings only where the exact one found nothing."""
     t = F.col(text)
     at = {literal: f"_at_{k}" for k, literal in enumerate(sorted({*NEEDED.values(), *(_literal(w) for label in _SCANNED for w in LABELS[label])}))}
-    rows = _once(documents, {"_low": _small(t)}, "doc_id", text)
+    rows = _once(documents, {"_low": small(t)}, "doc_id", text)
     rows = _once(rows, {name: F.instr(F.col("_low"), F.lit(literal)) for literal, name in at.items()}, "doc_id", text)
 
     def read(name: str, get: Callable[[Column], Column]) -> Column:

@@ -46,13 +46,13 @@ def without_boilerplate(text: Column) -> Column:
 def safe_to_drop(line: Column) -> Column:
     """Whether a repeated line may be dropped: of usual length, no heading, no business term, a known shape."""
     named = F.lower(line).rlike(f"^{HEADING_WORDS}(?![a-z0-9_])") | F.lower(line).rlike(BUSINESS_WORDS)
-    return F.length(line).between(6, 160) & ~named & F.lower(line).rlike(SAFE_SHAPES)
+    return F.length(line).between(6, 160) & F.lower(line).rlike(SAFE_SHAPES) & ~named
 
 
 def repeated_lines(documents: DataFrame, least_pages: int = 4, share: float = 0.45) -> DataFrame:
     """(file, line, pages): lines that stand on so many pages of a file that they are boilerplate of it."""
     pages = documents.filter("file is not null").groupBy("file").agg(F.count("*").alias("n"))
-    rows = documents.filter("file is not null").select("file", "doc_id", F.explode(F.array_distinct(F.transform(F.split("text", "\n"), squeezed))).alias("line"))
+    rows = documents.filter("file is not null").select("file", "doc_id", F.explode_outer(F.array_distinct(F.transform(F.split("text", "\n"), squeezed))).alias("line"))
     candidates = rows.filter(safe_to_drop(F.col("line"))).groupBy("file", "line").agg(F.count("*").alias("pages"))
     enough = F.greatest(F.lit(3), F.ceil(F.col("n") * share))
     return candidates.join(pages, "file").filter((F.col("n") >= least_pages) & (F.col("pages") >= enough)).select("file", "line", "pages")

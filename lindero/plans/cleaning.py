@@ -54,9 +54,18 @@ def _named(names: dict[str, str], locale: Column) -> Column:
 # --- pages -----------------------------------------------------------------------------------
 
 
+#: For each pattern of INLINE, pieces of words without which it can't match, in small letters. A blank put for a match never makes a word, so the text as it comes tells.
+_INLINE_WORDS = (("firmado", "fecha:"), ("cargo:", "fecha:"), ("jefe", "servicio"), ("gina:",), ("digo", "verificaci"), ("seguro", "verificaci"), ("http", "licitacion"), ("http", "//sede"), ("documento", "copia"), ("autenticidad", "comprobada"), ("siguiente", "verificaci"), ("firmado", "nicamente"))
+
+
 def without_inline(text: Column) -> Column:
-    """Boilerplate inside lines made one blank, pattern by pattern."""
-    return reduce(lambda c, p: F.regexp_replace(c, E.java(p), " "), INLINE, text)
+    """Boilerplate inside lines made one blank, pattern by pattern; patterns whose words the text lacks aren't read."""
+    has = lambda low, words: reduce(lambda a, b: a & b, (F.contains(low, F.lit(w)) for w in words))
+    # the sign behind a boundary is looked at first, as boundaries are slow to test
+    seen = lambda pattern: rf"(?={pattern[2]}){pattern}" if pattern.startswith(r"\b") else pattern
+    cut = lambda low, pattern, words: lambda c: F.when(has(low, words), F.regexp_replace(c, E.java(seen(pattern)), " ")).otherwise(c)
+    each = lambda c: X.let(E.small(c), lambda low: reduce(lambda c, p: X.let(c, cut(low, *p)), zip(INLINE, _INLINE_WORDS, strict=True), c))
+    return X.let(text, each)
 
 
 def cleaned_page(text: Column, repair: bool = True) -> Column:
@@ -67,7 +76,11 @@ def cleaned_page(text: Column, repair: bool = True) -> Column:
 def cleaned_pages(pages: DataFrame) -> DataFrame:
     """(doc_id, text) of pages (doc_id, file, text): each cleaned, then without the lines that repeat over the pages of their file."""
     clean = pages.select("doc_id", "file", cleaned_page(F.col("text")).alias("text"))
-    return P.without_repeated(clean, P.repeated_lines(clean))
+    # a repeated line stands on a good part of its file's pages, so these lists are short
+    drop = P.repeated_lines(clean).groupBy("file").agg(F.collect_set("line").alias("drop"))
+    rows = clean.join(drop, "file", "left").select("doc_id", "drop", F.inline_outer(F.array(F.struct(F.col("text"), F.split("text", "\n").alias("lines")))))
+    rows = rows.select("doc_id", "text", "lines", F.when(F.col("drop").isNotNull(), F.filter("lines", lambda line: ~F.array_contains("drop", X.squeezed(line)))).alias("kept"))
+    return rows.select("doc_id", F.when(F.col("kept").isNull() | (F.size("kept") == F.size("lines")), F.col("text")).otherwise(P.squeezed_ends(F.array_join("kept", "\n"))).alias("text"))
 
 
 def assembled(pages: DataFrame, headings: bool = True) -> DataFrame:
@@ -87,7 +100,9 @@ _PAGES_SQL = f"select l_orderkey * 10 + l_linenumber as doc_id, cast(l_orderkey
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages with signatures, codes, broken numbers and repeated lines; an order is a file."""
-    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*(F.min(c).alias(c) for c in ("l_partkey", "l_suppkey", "l_quantity")))
+    # keys are small beside the pages made of them, so they aren't drawn together into few tasks
+    dealt = table(spark, sf_dir, "lineitem").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "l_orderkey", "l_linenumber")
+    rows = dealt.groupBy("l_orderkey", "l_linenumber").agg(*(F.min(c).alias(c) for c in ("l_partkey", "l_suppkey", "l_quantity")))
     return rows.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("doc_id"), F.col("l_orderkey").cast("string").alias("file"), F.col("l_linenumber").alias("page_no"), F.expr(_PAGE).alias("text"))
 
 

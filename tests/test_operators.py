@@ -194,3 +194,12 @@ def test_amounts_without_country_are_kept(spark, tmp_path):
     connection.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
     want = {r[0]: r for r in connection.execute(SQL["error_factor_distribution"]).fetchall()}
     assert set(out) == set(want) == {None, "A"} and all(tuple(out[k]) != () and (out[k].n, out[k].median, out[k].below_10, out[k].to_1000, out[k].above) == (want[k][1], want[k][3], *want[k][5:]) for k in want)
+
+
+def test_pages_are_dealt_out_and_lines_in_odd_letters_cut(spark):
+    # keys were drawn together into as few tasks as their own size asks for
+    assert "REPARTITION_BY_NUM" in cleaning.cleaned_volumes(spark, DIR)._jdf.queryExecution().executedPlan().toString()
+    rows = [(1, "a", "FıRMADO POR: X Fecha: 1-2-24 10:11 fin"), (2, "a", "Su Firmado por: Y Fecha: 1-2-24 10:11autenticidad puede ser comprobada"), (3, None, "3 .5 8 0.000,00"), (4, "b", None), (5, "b", "")]
+    rows += [(10 + k, "c", f"Sede electrónica\n texto {k}\n\nSede  electrónica") for k in range(4)]
+    out = {r.doc_id: r.text for r in cleaning.cleaned_pages(spark.createDataFrame(rows, "doc_id long, file string, text string")).collect()}
+    assert out == {1: "fin", 2: "", 3: "3.580.000,00", 4: None, 5: ""} | {10 + k: f"texto {k}" for k in range(4)}
